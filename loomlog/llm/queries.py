@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.functions.names import with_event_type
-from loomlog.llm import mixing, packing, runs, sequences, tokens
+from loomlog.llm import garbled, mixing, packing, runs, sequences, tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -64,9 +64,18 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(*mixing.mix(sized_documents(spark, sf, "source"), table(spark, sf, "mix_targets")))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.find(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.find(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_patterns": p1_patterns, "p3_found": p3_found, "p3_runs": p3_runs,
     "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
 _TYPED = r"""

@@ -82,7 +82,6 @@ class Diagram:
         self.items: list[int] = []  # bit mask of the items below the node
         self._unique: dict[tuple, int] = {}
         self._sum: dict[tuple[int, int], int] = {}
-        self._after: dict[tuple[int, int], int] = {}
         self.empty = self.leaf(0)
 
     def leaf(self, weight: int) -> int:
@@ -148,41 +147,69 @@ class Diagram:
             self._sum[a, b] = n
         return n
 
-    def after(self, n: int, x: int) -> int:
-        """The conditional diagram: what follows the first ``x``, of the sequences that have one."""
-        if not self.items[n] >> x & 1:
-            return self.empty
-        c = self._after.get((n, x))
-        if c is None:
-            rest = self.after(self.lo[n], x)
-            c = self._after[n, x] = self.add(self.hi[n] if self.item[n] == x else self.after(self.hi[n], x), rest)
-        return c
-
-    def supports(self, n: int) -> dict[int, int]:
-        """Weight of the sequences that contain each item."""
-        out = {}
-        mask = self.items[n]
-        while mask:
-            bit = mask & -mask
-            x = bit.bit_length() - 1
-            out[x] = self._support(n, x, {})
-            mask ^= bit
-        return out
-
-    def _support(self, n: int, x: int, memo: dict[int, int]) -> int:
-        if not self.items[n] >> x & 1:
-            return 0
-        s = memo.get(n)
-        if s is None:
-            s = memo[n] = (self.weight[self.hi[n]] if self.item[n] == x else self._support(self.hi[n], x, memo)) + self._support(self.lo[n], x, memo)
-        return s
+    def after(self, n: int, x: int, keep: int) -> int:
+        """The conditional diagram: what follows the first ``x``, of the sequences that have one.
+
+        Only items of the mask ``keep`` stay in it.
+        """
+        item, hi, lo, items = self.item, self.hi, self.lo, self.items
+        done: dict[int, int] = {}
+        kept: dict[int, int] = {}
+
+        def project(n: int) -> int:
+            if not items[n] & ~keep:
+                return n
+            p = kept.get(n)
+            if p is None:
+                y = item[n]
+                p = kept[n] = self.node(y, project(hi[n]), project(lo[n])) if keep >> y & 1 else self.add(project(hi[n]), project(lo[n]))
+            return p
+
+        def find(n: int) -> int:
+            if not items[n] >> x & 1:
+                return self.empty
+            c = done.get(n)
+            if c is None:
+                c = done[n] = self.add(project(hi[n]) if item[n] == x else find(hi[n]), find(lo[n]))
+            return c
+
+        return find(n)
+
+    def pairs(self, n: int) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
+        """Weight of the sequences that contain each item, and each ordered pair of different items.
+
+        Follows the paths with the items met so far and, per item, those that
+        it has already been seen to follow.
+        """
+        one: dict[int, int] = {}
+        two: dict[tuple[int, int], int] = {}
+        item, hi, lo, weight, items = self.item, self.hi, self.lo, self.weight, self.items
+        todo = [(n, 0, {})]
+        while todo:
+            n, met, follows = todo.pop()
+            while items[n]:
+                x, h = item[n], hi[n]
+                bit, w = 1 << x, weight[h]
+                if not met & bit:
+                    one[x] = one.get(x, 0) + w
+                fresh = met & ~follows.get(x, 0) & ~bit
+                if items[h]:
+                    todo.append((h, met | bit, follows | {x: met} if fresh else follows))
+                while fresh:
+                    b = fresh & -fresh
+                    fresh ^= b
+                    k = (b.bit_length() - 1, x)
+                    two[k] = two.get(k, 0) + w
+                n = lo[n]
+        return one, two
 
 
 def mine(d: Diagram, root: int, least: int, longest: int) -> dict[tuple, int]:
     """All sequences of up to ``longest`` different items in at least ``least`` (by weight) of the sequences.
 
-    Subproblems are identical if they have the same conditional diagram and the
-    same length left; their patterns are found once.
+    The conditional diagram of a prefix keeps only the items that are frequent
+    after it. Subproblems are identical if they have the same conditional
+    diagram and the same length left; their patterns are found once.
     """
     memo: dict[tuple[int, int], list] = {}
 
@@ -191,30 +218,41 @@ def mine(d: Diagram, root: int, least: int, longest: int) -> dict[tuple, int]:
         if found is None:
             found = memo[n, left] = []
             if d.weight[n] >= least:
-                mask = d.items[n]
-                while mask:
-                    bit = mask & -mask
-                    mask ^= bit
-                    x = bit.bit_length() - 1
-                    s = d._support(n, x, {})
+                one, two = d.pairs(n)
+                keep: dict[int, int] = {}
+                for (x, y), s in two.items():
                     if s >= least:
-                        found.append(((x,), s))
-                        if left > 1:
-                            found += [((x, *p), w) for p, w in below(d.after(n, x), left - 1) if x not in p]
+                        keep[x] = keep.get(x, 0) | 1 << y
+                        if left == 2:
+                            found.append(((x, y), s))
+                found += [((x,), s) for x, s in one.items() if s >= least]
+                if left > 2:
+                    for x, mask in keep.items():
+                        found += [((x, *p), w) for p, w in below(d.after(n, x, mask), left - 1) if x not in p]
         return found
 
-    return dict(below(root, longest))
+    return {p: s for p, s in below(root, longest) if len(p) <= longest}
 
 
 def count(d: Diagram, root: int, patterns: Iterable[tuple]) -> dict[tuple, int]:
     """Exact support of the given patterns, along their shared prefixes."""
-    at: dict[tuple, int] = {(): root}
-    out = {}
-    for p in patterns:
-        for i in range(1, len(p) + 1):
-            if p[:i] not in at:
-                at[p[:i]] = d.after(at[p[: i - 1]], p[i - 1])
-        out[p] = d.weight[at[p]]
+    out: dict[tuple, int] = {}
+
+    def push(n: int, prefix: tuple, rest: list[tuple]) -> None:
+        nxt: dict[int, list[tuple]] = {}
+        for p in rest:
+            if p:
+                nxt.setdefault(p[0], []).append(p[1:])
+            else:
+                out[prefix] = d.weight[n]
+        for x, tails in nxt.items():
+            keep = 0
+            for t in tails:
+                for y in t:
+                    keep |= 1 << y
+            push(d.after(n, x, keep), (*prefix, x), tails)
+
+    push(root, (), list(patterns))
     return out
 
 
@@ -322,6 +360,15 @@ def frequent(sequences: DataFrame, share: float, least: int, longest: int, shard
         found = mine(d, root, threshold(t), longest)
         return pa.table({"pattern": pa.array([list(p) for p in found], pa.list_(pa.int32())), "support": pa.array(list(found.values()), pa.int64())})
 
+    def recount(wanted: list[tuple]):
+        def one(t: pa.Table) -> pa.Table:
+            d, root = diagram(t)
+            own = threshold(t)
+            got = {p: n for p, n in count(d, root, wanted).items() if 0 < n < own}  # the others were reported
+            return pa.table({"pattern": pa.array([list(p) for p in got], pa.list_(pa.int32())), "support": pa.array(list(got.values()), pa.int64())})
+
+        return one
+
     mined = stage(sharded.groupBy("shard").applyInArrow(local, "pattern array<int>, support bigint"), "mined")
     sizes = sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select(F.sum(F.ceil(F.lit(share_of) * F.col("n") - 1e-9) - 1).alias("slack"), F.count(F.lit(1)).alias("shards"))
     slack, filled = sizes.first()
@@ -334,13 +381,7 @@ def frequent(sequences: DataFrame, share: float, least: int, longest: int, shard
     for c in range(0 if chunks is None else int(chunks) + 1):
         wanted = sorted(tuple(r[0]) for r in open_.where(F.col("chunk") == c).select("pattern").collect())  # at most ``at_once``
 
-        def recount(t: pa.Table, wanted=wanted) -> pa.Table:
-            d, root = diagram(t)
-            own = threshold(t)
-            got = {p: n for p, n in count(d, root, wanted).items() if 0 < n < own}  # the others were reported
-            return pa.table({"pattern": pa.array([list(p) for p in got], pa.list_(pa.int32())), "support": pa.array(list(got.values()), pa.int64())})
-
-        missing = missing.unionByName(sharded.groupBy("shard").applyInArrow(recount, "pattern array<int>, support bigint"))
+        missing = missing.unionByName(sharded.groupBy("shard").applyInArrow(recount(wanted), "pattern array<int>, support bigint"))
     exact = mined.select("pattern", "support").unionByName(missing).groupBy("pattern").agg(F.sum("support").alias("support")).where(F.col("support") >= need)
     lookup = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     return exact.select(F.transform("pattern", lambda i: F.get(lookup, i)).alias("pattern"), "support")
