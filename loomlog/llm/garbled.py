@@ -261,9 +261,16 @@ def _lattice_utf8(data: list[int], model: Model) -> list[list[tuple[str, float]]
 CHANNELS = [("", "")] + [("utf-8", r) for r in UTF8_READ_AS] + [("utf-8 2", r) for r in UTF8_READ_AS[:5]] + [("utf-8 3", "western")] + SINGLE + DOUBLE_BYTE + [("utf-8", "ascii"), ("cp1252", "utf-8"), ("cp1250", "utf-8"), ("cp1251", "utf-8")]
 
 
+_MIXED = re.compile(r"[A-Za-z\u00c0-\u024f][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u024f]")
+
+
 def structural(stretch: str) -> bool:
-    """Whether a stretch reads as multi-byte UTF-8 in some one-byte encoding, or has lost characters."""
-    if LOST in stretch or any("\x80" <= c < "\xa0" for c in stretch):
+    """Whether a stretch cannot teach what intact text looks like.
+
+    It reads as multi-byte UTF-8 in some one-byte encoding, has lost or control
+    characters, or Latin next to Cyrillic letters.
+    """
+    if LOST in stretch or any("\x80" <= c < "\xa0" for c in stretch) or _MIXED.search(stretch):
         return True
     for r in ("western", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "gbk"):
         data = to_bytes(stretch, r)
