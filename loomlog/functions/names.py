@@ -43,9 +43,9 @@ def uuid_key(text: Column | str) -> Column:
 def payload_number(payload: Column | str, field: str = "amount") -> Column:
     """A number, or a quoted number, of a JSON payload as DECIMAL(28,6); else null.
 
-    A payload that is empty, cut off or not JSON gives null. Decimals make sums
-    independent of the order of rows.
+    A payload that is empty, cut off, not UTF-8 or not JSON gives null. Decimals
+    make sums independent of the order of rows.
     """
     c = F.col(payload) if isinstance(payload, str) else payload
-    text = F.get_json_object(F.decode(c, "UTF-8"), f"$.{field}")
+    text = F.get_json_object(F.try_validate_utf8(c.cast("string")), f"$.{field}")
     return text.try_cast("decimal(28,6)")

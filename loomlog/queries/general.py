@@ -129,6 +129,15 @@ UNION ALL SELECT partition_id, hour, version, partition_sequence, CAST(1 AS INT)
     "p4_hourly": _LATE + """
 SELECT partition_id, hour, count(*) FILTER (arrived = 'on_time') AS published_count, count(*) FILTER (arrived = 'late') AS corrections,
   count(*) FILTER (arrived <> 'dropped') AS n, count(*) FILTER (arrived = 'dropped') AS dropped FROM c GROUP BY ALL""",
+    "p5_features": rf"""
+WITH once AS ({_ONCE}),
+e AS (SELECT o.partition_id, o.stream_id, t.event_type, o.timestamp_ns AS ts,
+  CASE WHEN json_valid(decode(payload)) THEN TRY_CAST(json_extract_string(decode(payload), '$.amount') AS DECIMAL(28,6)) END AS amount
+  FROM once o JOIN event_types t ON regexp_replace(regexp_replace(lower(o.event_name), '[^\p{{L}}\p{{Nd}}]', '', 'g'), '\p{{Nd}}+$', '') = t.event_type),
+s AS (SELECT DISTINCT partition_id, stream_id FROM e),
+g AS (SELECT partition_id, stream_id, event_type, count(*) AS n, max(ts) AS last_ns, sum(amount) AS amount FROM e GROUP BY ALL),
+b AS (SELECT s.partition_id, s.stream_id, t.event_type, coalesce(n, 0) AS n, last_ns, CAST(coalesce(amount, 0) AS DOUBLE) AS amount FROM s CROSS JOIN event_types t LEFT JOIN g USING (partition_id, stream_id, event_type))
+SELECT * FROM (PIVOT b ON event_type USING first(n) AS n, first(last_ns) AS last_ns, first(amount) AS amount GROUP BY partition_id, stream_id)""",
     "p6_keys": f"""
 WITH once AS ({_ONCE}),
 k AS (SELECT 'partition_key' AS key_field, partition_key AS key_value, timestamp_ns AS ts FROM once
