@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.scratch import free_name
+
 
 def type_key(name: Column | str) -> Column:
     """Lower case, letters and digits only, without the digits at the end."""
@@ -15,12 +17,15 @@ def type_key(name: Column | str) -> Column:
 def with_event_type(events: DataFrame, types: DataFrame, name: str = "event_name", to: str = "event_type") -> DataFrame:
     """Add the event type that a spelling belongs to; null where none matches.
 
+    A column of the name ``to`` that is there already is replaced.
     ``types`` is a dimension table; Catalyst broadcasts it if its size on disk
     is under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
     known = types.select(F.col("event_type").alias(to)).where(F.col(to).isNotNull()).distinct()
-    keyed = events.withColumn("_type_key", type_key(name))
-    return keyed.join(known, F.col("_type_key") == F.col(to), "left").drop("_type_key")
+    events = events.drop(to)
+    key = free_name(events, "_type_key")
+    keyed = events.withColumn(key, type_key(name))
+    return keyed.join(known, F.col(key) == F.col(to), "left").drop(key)
 
 
 def uuid_key(text: Column | str) -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.scratch import free_name
+
 
 def first_copies(df: DataFrame, identifier: Sequence[str], arrival: Sequence[str]) -> DataFrame:
     """Exactly one row per identifier: the first by ``arrival`` (nulls last).
@@ -23,8 +25,9 @@ def first_copies(df: DataFrame, identifier: Sequence[str], arrival: Sequence[str
     for c in identifier:
         known = known & F.col(c).isNotNull()
     order = [F.col(c).asc_nulls_last() for c in arrival]
-    ranked = df.where(known).withColumn("_rank", F.row_number().over(Window.partitionBy(*identifier).orderBy(*order)))
-    return ranked.where(F.col("_rank") == 1).drop("_rank").unionByName(df.where(~known))
+    rank = free_name(df, "_rank")
+    ranked = df.where(known).withColumn(rank, F.row_number().over(Window.partitionBy(*identifier).orderBy(*order)))
+    return ranked.where(F.col(rank) == 1).drop(rank).unionByName(df.where(~known))
 
 
 def surplus_copies(df: DataFrame, identifier: Sequence[str], arrival: Sequence[str], row_id: str) -> DataFrame:
@@ -34,8 +37,9 @@ def surplus_copies(df: DataFrame, identifier: Sequence[str], arrival: Sequence[s
     it is spread evenly however large a group of copies is. Rows with a null
     ``row_id`` cannot be named and do not appear.
     """
-    keep = first_copies(df, identifier, arrival).select(F.col(row_id).alias("_kept"))
-    return df.select(row_id).join(keep, F.col(row_id) == F.col("_kept"), "left_anti").where(F.col(row_id).isNotNull())
+    kept = free_name(df, "_kept")
+    keep = first_copies(df, identifier, arrival).select(F.col(row_id).alias(kept))
+    return df.select(row_id).join(keep, F.col(row_id) == F.col(kept), "left_anti").where(F.col(row_id).isNotNull())
 
 
 def only_unseen(batch: DataFrame, seen: DataFrame, identifier: Sequence[str], arrival: Sequence[str]) -> DataFrame:

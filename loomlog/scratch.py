@@ -42,3 +42,11 @@ def sized(df: DataFrame, max_rows: int = 100_000, name: str = "side") -> DataFra
     """
     staged = stage(df, name)
     return F.broadcast(staged) if staged.count() <= max_rows else staged
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

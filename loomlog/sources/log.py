@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import ids
 from loomlog.operators.blocks import block_of, block_rank
+from loomlog.scratch import free_name
 
 EVENT = (
     "event_id string, partition_key string, partition_id int, transaction_id string, partition_sequence bigint, stream_version bigint, "
@@ -21,8 +22,9 @@ WIRE = ["event_id", "partition_key", "partition_id", "transaction_id", "partitio
 
 def once(log: DataFrame) -> DataFrame:
     """The log with each (partition_id, partition_sequence) once, in blocks of the sequence."""
-    rows = log.where("partition_id is not null and partition_sequence is not null").withColumn("_block", block_of("partition_sequence", 1 << 12))
-    return rows.repartition("partition_id", "_block").dropDuplicates(["partition_id", "_block", "partition_sequence"]).drop("_block")
+    block = free_name(log, "_block")
+    rows = log.where("partition_id is not null and partition_sequence is not null").withColumn(block, block_of("partition_sequence", 1 << 12))
+    return rows.repartition("partition_id", block).dropDuplicates(["partition_id", block, "partition_sequence"]).drop(block)
 
 
 def wire(events: DataFrame) -> DataFrame:
