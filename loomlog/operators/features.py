@@ -39,7 +39,8 @@ def wide(merged: DataFrame, entity: list[str], types: list[str]) -> DataFrame:
     A type that the entity never had: 0, null and 0.0. The rows that are
     pivoted are at most one per (entity, type), so no entity is large.
     """
-    p = merged.groupBy(*entity).pivot("event_type", types).agg(F.first("n").alias("n"), F.first("last_ns").alias("last_ns"), F.first("amount").alias("amount"))
+    # moved by entity before they are widened: a partly filled wide row is never shuffled
+    p = merged.repartition(*entity).groupBy(*entity).pivot("event_type", types).agg(F.first("n").alias("n"), F.first("last_ns").alias("last_ns"), F.first("amount").alias("amount"))
     cols = []
     for t in types:
         cols += [F.coalesce(F.col(f"`{t}_n`"), F.lit(0)).alias(f"{t}_n"), F.col(f"`{t}_last_ns`"), F.coalesce(F.col(f"`{t}_amount`"), F.lit(0)).cast("double").alias(f"{t}_amount")]
