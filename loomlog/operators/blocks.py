@@ -33,13 +33,10 @@ def prefix_by_block(df: DataFrame, keys: list[str], block: str, aggs: dict[str,
 def block_rank(df: DataFrame, keys: list[str], block: str, order: list, to: str = "rank") -> DataFrame:
     """Rank from 0 within ``keys`` by (block, order); no task sees more than a block of a group.
 
-    Null keys form a group of their own; ties in ``order`` get adjacent ranks.
+    Ties in ``order`` get adjacent ranks. Keys and blocks must not be null. The
+    rows are shuffled once: counts and window use the same partitioning.
     """
-    counts = prefix_by_block(df, keys, block, {"n": F.count(F.lit(1))}, {"n": "sum"})
     names = [*keys, block]
-    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], F.col("prev_n").alias("_prev_n"))
-    on = F.lit(True)
-    for i, k in enumerate(names):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    rank = F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1 + F.coalesce("_prev_n", F.lit(0))
-    return df.join(counts, on, "left").withColumn(to, rank.cast("bigint")).drop("_prev_n", *[f"_k{i}" for i in range(len(names))])
+    counts = prefix_by_block(df, keys, block, {"n": F.count(F.lit(1))}, {"n": "sum"})
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1 + F.coalesce("prev_n", F.lit(0))
+    return df.join(counts, names, "left").withColumn(to, rank.cast("bigint")).drop("prev_n")
