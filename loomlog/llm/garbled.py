@@ -30,7 +30,8 @@ from loomlog.scratch import stage
 LOST = "\N{REPLACEMENT CHARACTER}"
 #: Least relative frequency of a word or pair in the model: at most 1 / RARE entries of a kind.
 RARE = 2e-6
-STRETCH = r"[^ \t\r\n]*[^\x00-\x7F][^ \t\r\n]*"
+# tried only where a stretch begins, and never given back: linear in texts of any length
+STRETCH = r"(?<![^ \t\r\n])[\x00-\x08\x0b\x0c\x0e-\x1f\x21-\x7f]*+[^\x00-\x7F][^ \t\r\n]*+"
 _STRETCH = re.compile(STRETCH)
 _QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -192,7 +193,7 @@ class Model:
                 return w
             return "".join(a.upper() if (b.isupper() or b == LOST and w.replace(LOST, "").isupper() and len(w.replace(LOST, "")) > 1) else a for a, b in zip(hit[1], w)) if len(hit[1]) == len(w) else w
 
-        return re.sub(rf"[^\W\d_{LOST}]*(?:{LOST}[^\W\d_]*)+", best, text)
+        return re.sub(rf"(?<![^\W\d_])[^\W\d_]*+(?:{LOST}[^\W\d_]*+)+", best, text)
 
 
 def skeleton(word: str) -> str:

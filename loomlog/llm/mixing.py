@@ -21,7 +21,7 @@ BINS = 1 << 14
 def source_key(source: Column | str) -> Column:
     """A source's own name, however it is spelled: lower case, trimmed, one hyphen for blanks, hyphens and underscores."""
     c = F.col(source) if isinstance(source, str) else source
-    return F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), r"(?U)[\s_\-]+", "-")
+    return F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")), r"(?U)[\s_\-]+", "-")
 
 
 def uniform(key: Column | str, seed: int) -> Column:

@@ -44,6 +44,8 @@ def segment(labels: list, penalty: float, near: Callable[[object], dict] | None
             opened = (best + penalty, i, (before, lead, start, i - 1))
         else:
             opened = (0.0, i, None)
+            if far < penalty:  # the first run may be represented by a label that only comes later
+                close = {c: far for c in set(labels)} | close | {x: 0.0}
         nxt = {}
         for c, (cost, start, before) in live.items():
             nxt[c] = (cost + (0.0 if c == x else close.get(c, far)), start, before)
