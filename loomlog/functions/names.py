@@ -11,7 +11,7 @@ from loomlog.scratch import free_name
 def type_key(name: Column | str) -> Column:
     """Lower case, letters and digits only, without the digits at the end."""
     c = F.col(name) if isinstance(name, str) else name
-    return F.regexp_replace(F.lower(c), r"[^\p{L}]+$|[^\p{L}\p{Nd}]+", "")
+    return F.regexp_replace(F.lower(c), r"(?<![^\p{L}])[^\p{L}]++$|[^\p{L}\p{Nd}]++", "")
 
 
 def with_event_type(events: DataFrame, types: DataFrame, name: str = "event_name", to: str = "event_type") -> DataFrame:
@@ -35,7 +35,7 @@ def uuid_key(text: Column | str) -> Column:
     braces, hyphenated after ``urn:uuid:``. Other texts stand for themselves
     (prefixed ``text:``), so equal texts still meet; null stays null.
     """
-    c = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"(?U)^\s+|\s+$", "")
+    c = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"(?U)^\s++|(?<!\s)\s++$", "")
     bare = F.when(F.length(c) == 45, F.regexp_replace(c, "^urn:uuid:", "")).when(
         (F.length(c) == 38) & c.startswith("{") & c.endswith("}"), F.substring(c, 2, 36)
     ).otherwise(c)
