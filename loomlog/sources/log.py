@@ -67,7 +67,7 @@ def write(log: DataFrame, path: str, partitions: int, buckets: int, mode: str =
 
 def read(spark: SparkSession, path: str, partitions: int | None = None, buckets: int | None = None) -> DataFrame:
     """Open a stored log; a different number of partitions or buckets than it was made with is refused."""
-    meta = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/_engine_meta.json").collect()))
+    meta = json.loads(_read_text(spark, f"{path}/_engine_meta.json"))
     for name, wanted in (("partitions", partitions), ("buckets", buckets)):
         if wanted is not None and meta[name] != wanted:
             raise ValueError(f"the log has {meta[name]} {name}, not {wanted}")
@@ -84,6 +84,16 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def _read_text(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def encode_record(log: DataFrame) -> DataFrame:
     """The record view of events: stored confirmation byte, record header and CRC-32 of the payload."""
     return log.select(
