@@ -26,10 +26,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_staged: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application staged; for when no result that reads it is needed any more."""
+    jvm = spark.sparkContext._jvm
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the scratch folder and return a scan of what was written."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loomlog-{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -79,7 +79,8 @@ class SubscriptionReader(DataSourceStreamReader):
         self.path, self.window = options["path"], int(options.get("window", "1000"))
         self.acks = options.get("acks")
         self.start = {int(k): int(v) for k, v in json.loads(options["start"]).items()}
-        self.sent = 0
+        self.tops: dict[int, int] = {}
+        self.seen: set[str] = set()
 
     def initialOffset(self) -> dict:
         return {"next": {str(k): v for k, v in self.start.items()}, "cursor": 0}
@@ -107,9 +108,30 @@ class SubscriptionReader(DataSourceStreamReader):
         return self.at
 
     def _tops(self) -> dict[int, int]:
-        """Highest contiguous sequence per partition, from the statistics of one column of the files."""
-        t = ds.dataset(self.path, format="parquet", partitioning="hive").to_table(columns=["partition_id", "partition_sequence"]).group_by("partition_id").aggregate([("partition_sequence", "max")])
-        return dict(zip(t.column("partition_id").to_pylist(), t.column("partition_sequence_max").to_pylist()))
+        """Highest sequence per partition, from the footers of files not seen before.
+
+        Files are immutable. Rows are only read of a row group that holds
+        several partitions, and then of two columns.
+        """
+        for fragment in ds.dataset(self.path, format="parquet", partitioning="hive").get_fragments():
+            if fragment.path in self.seen:
+                continue
+            where = ds.get_partition_keys(fragment.partition_expression).get("partition_id")
+            for group in fragment.split_by_row_group():
+                stats = group.row_groups[0].statistics or {}
+                s, p = stats.get("partition_sequence"), stats.get("partition_id")
+                one = where if where is not None else p["min"] if p and p["min"] == p["max"] else None
+                if s and one is not None:
+                    self.tops[one] = max(self.tops.get(one, -1), s["max"])
+                    continue
+                columns = ["partition_sequence"] if where is not None else ["partition_id", "partition_sequence"]
+                t = group.to_table(columns=columns)
+                ids = [where] * len(t) if where is not None else t.column("partition_id").to_pylist()
+                for k, n in zip(ids, t.column("partition_sequence").to_pylist()):
+                    if k is not None and n is not None:
+                        self.tops[k] = max(self.tops.get(k, -1), n)
+            self.seen.add(fragment.path)
+        return self.tops
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return [_Range(int(p), start["next"].get(p, 0), n) for p, n in end["next"].items() if n > start["next"].get(p, 0)]
@@ -129,6 +151,8 @@ class SubscriptionReader(DataSourceStreamReader):
 class SubscriptionSource(DataSource):
     """``spark.readStream.format("loomlog_subscription")`` over a folder of log files.
 
+    The folder holds confirmed events, gapless per partition; files are only added.
+
     Options: path; start (JSON, first sequence per partition); window; acks (a
     file of acknowledged cursors).
     """
