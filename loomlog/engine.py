@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ class Engine:
         quorum = self.config.quorum if self.config.replication_factor or self.config.nodes > 1 else 2
         self.marks = confirm.watermarks(log, quorum)
         self.visible = reads.visible(log, commits, quorum, self.marks)
+        self.subscriptions: dict[str, tuple[c.Subscribe, int | None]] = {}
 
     def execute(self, command: str | list[str]) -> DataFrame:
         """The reply of a command as a DataFrame; EngineError for one that is refused."""
@@ -54,9 +57,9 @@ class Engine:
             return self.spark.range(1).select(F.lit("loomlog").alias("server"), F.lit("1").alias("version"), F.lit("local").alias("peer_id"), F.lit(self.config.partitions).alias("num_partitions"))
         if isinstance(r, c.Simple) and r.name == "PING":
             return self.spark.range(1).select(F.lit("PONG").alias("reply"))
-        if isinstance(r, c.Simple):
-            return self.cache_info()
-        raise EngineError("NOTFOUND", "no such subscription on this connection")
+        if isinstance(r, c.Ack):
+            return self.spark.range(1).select(F.lit(self.acknowledge(r.subscription_id, r.cursor)).cast("bigint").alias("acked"))
+        return self.cache_info()
 
     def _partition(self, p: int | str) -> int:
         return p if isinstance(p, int) else c.hash_of(p) % self.config.partitions
@@ -84,10 +87,34 @@ class Engine:
         return self.spark.createDataFrame(rows, "partition_key string, partition_id int, partition_sequence bigint, stream_id string, event_name string, stream_version bigint, timestamp bigint")
 
     def subscribe(self, r: c.Subscribe) -> DataFrame:
-        """History of a subscription: what it is sent before it goes live, at most a window of it un-acked."""
+        """Open a subscription: what it is sent of the history before its first ack, at most a window."""
+        subscription_id = str(uuid.uuid4())
+        self.subscriptions[subscription_id] = (r, None)
+        return self.next_records(subscription_id)
+
+    def next_records(self, subscription_id: str) -> DataFrame:
+        """(subscription_id, cursor, event...) that a subscription may be sent now: past its ack, within its window."""
         from loomlog.streaming.subscriptions import records
 
-        return records(self.visible, r)
+        r, acked = self._subscription(subscription_id)
+        sent = records(self.visible, r, True, acked)
+        return sent.where(F.col("cursor") > (-1 if acked is None else acked)).select(F.lit(subscription_id).alias("subscription_id"), "cursor", *[x for x in sent.columns if x != "cursor"])
+
+    def acknowledge(self, subscription_id: str, cursor: int) -> int:
+        """Move the ack of a subscription forward; an older cursor changes nothing."""
+        r, acked = self._subscription(subscription_id)
+        acked = cursor if acked is None else max(acked, cursor)
+        self.subscriptions[subscription_id] = (r, acked)
+        return acked
+
+    def unsubscribe(self, subscription_id: str) -> None:
+        self._subscription(subscription_id)
+        del self.subscriptions[subscription_id]
+
+    def _subscription(self, subscription_id: str) -> tuple[c.Subscribe, int | None]:
+        if subscription_id not in self.subscriptions:
+            raise EngineError("NOTFOUND", "no such subscription on this connection")
+        return self.subscriptions[subscription_id]
 
     def cache_info(self) -> DataFrame:
         """Memory that Spark's storage uses and has, in place of a block cache's counters."""

@@ -54,6 +54,12 @@ def satisfied(expected: Column | str, current: Column | str) -> Column:
     return gap(expected, current)["kind"] == "none"
 
 
+def sequence_gap(expected: Column | str, next_sequence: Column | str) -> Column:
+    """The same rule over a partition: its next sequence is one past its current one, 0 for none."""
+    n = _c(next_sequence)
+    return gap(expected, F.when(n > 0, n - 1))
+
+
 def strict(expected: Column | str) -> Column:
     """Whether strict mode lets an expectation pass."""
     return _c(expected).isNotNull() & ~_c(expected).isin("any", "exists")

@@ -116,6 +116,12 @@ def _fold(df: DataFrame, keys: list[str], state: dict | None = None) -> DataFram
     return laid.mapInArrow(run, RESULT)
 
 
+def too_large(requests: DataFrame, segment_bytes: int, header_bytes: int = 64) -> DataFrame:
+    """Transactions that no segment can hold: (tx_no, n_bytes). ``requests``: tx_no, n_bytes (null: 0)."""
+    size = F.sum(F.coalesce("n_bytes", F.lit(0)) + header_bytes)
+    return requests.groupBy("tx_no").agg(size.alias("n_bytes")).where(F.col("n_bytes") > segment_bytes)
+
+
 def append(requests: DataFrame, strict: bool = False, partitions: int = ids.PARTITIONS, buckets: int = ids.BUCKETS, atomic: bool = False) -> DataFrame:
     """The verdict on every request: status OK or an error code, message, version and sequence.
 

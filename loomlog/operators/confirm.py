@@ -7,11 +7,13 @@ by a quorum. A sequence is readable if it is below W.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.blocks import BLOCK, block_of
 
+MARKS = "partition_id int, confirmed_watermark bigint, highest_version bigint"
+
 
 def watermarks(log: DataFrame, quorum: int = 2, skipped: DataFrame | None = None, forced: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(partition_id, confirmed_watermark, highest_version) of each partition.
@@ -87,3 +89,31 @@ def confirm(log: DataFrame, claims: DataFrame) -> DataFrame:
     have = log.select("partition_id", "partition_sequence", F.col("event_id").alias("stored_id"))
     status = F.when(F.col("stored_id").isNull(), "missing").when(F.col("stored_id") != F.col("event_id"), "other event").otherwise("ok")
     return claims.join(have, ["partition_id", "partition_sequence"], "left").withColumn("status", status).drop("stored_id")
+
+
+class Snapshots:
+    """Watermarks on disk: every save is a new directory, published by one marker; the last published is current."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        folder = self._Path(f"{self.path}/published")
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit()) if self._fs.exists(folder) else []
+
+    def load(self) -> DataFrame | None:
+        n = self.numbers()
+        return self.spark.read.schema(MARKS).parquet(f"{self.path}/snapshot={n[-1]}") if n else None
+
+    def save(self, marks: DataFrame) -> int:
+        """Publish new watermarks; none of them moves back behind the current ones."""
+        now = self.load()
+        if now is not None:
+            both = marks.select(*now.columns).unionByName(now)
+            marks = both.groupBy("partition_id").agg(F.max("confirmed_watermark").alias("confirmed_watermark"), F.max("highest_version").alias("highest_version"))
+        n = (self.numbers() or [-1])[-1] + 1
+        marks.write.mode("overwrite").parquet(f"{self.path}/snapshot={n}")
+        self._fs.create(self._Path(f"{self.path}/published/{n}"), False).close()
+        return n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,6 +273,28 @@ def sub_window_after_ack(spark, sf):
     return records(store.once(_log(spark, sf)), Subscribe("partition", None, 0, None, 10), acked=499).where("cursor > 499").select("cursor", *_KEY)
 
 
+def stream_replay(spark, sf):
+    """The whole log replayed as a stream: each event once, in batches published by number."""
+    from loomlog.scratch import scratch_dir
+
+    where = f"{scratch_dir(spark)}/loomlog-replay-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(_log(spark, sf).schema).parquet(f"{sf}/event_log.parque[t]").select("partition_id", "partition_sequence", "event_id")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    replayed = spark.read.schema("partition_id int, partition_sequence bigint, event_id string").parquet(f"{where}/out")
+    return store.once(replayed).select("partition_id", "partition_sequence", "event_id")
+
+
+def sequence_gap(spark, sf):
+    """What a write that expects each event's own stream version as sequence would be told at that point."""
+    e = store.once(_log(spark, sf))
+    g = versions.sequence_gap(F.col("stream_version").cast("string"), "partition_sequence")
+    return e.select("partition_id", "partition_sequence", g["kind"].alias("kind"), g["n"].alias("n"))
+
+
 def _key(stream: str) -> str:
     from loomlog.plans.commands import default_key
 
@@ -322,6 +346,7 @@ QUERIES = {f.__name__: f for f in (
     escan_count_has_more, epscan, epscan_range, epscan_visible, eget, eget_missing, esver, epseq, partition_sequences, stream_reverse, partition_reverse, read_transaction_tail,
     stream_index_summary, partition_index_summary, validate_sequences, version_gap, append_fold, append_any_versions, strict_mode, emappend_atomic, sub_all_from_map_default,
     sub_partitions_from, sub_streams_from_map, sub_window_first_page, sub_window_after_ack, subscription_progress, replica_gaps, replica_sets, coordinators, distribute_partition, write_quorums,
+    stream_replay, sequence_gap,
 )}
 
 # ---- SQL ----
@@ -446,6 +471,9 @@ g AS (SELECT *, CASE WHEN expected = 'any' THEN 'none' WHEN expected = 'exists'
 SELECT partition_id, partition_sequence, expected, current, kind, CASE WHEN kind IN ('none', 'incompatible') THEN NULL WHEN expected = 'empty' THEN current + 1 WHEN current IS NULL THEN v + 1 ELSE abs(v - current) END AS n, kind = 'none' AS satisfied,
   expected NOT IN ('any', 'exists') AS strict, CASE WHEN expected = 'empty' THEN 0 ELSE v + 1 END AS next_expected, coalesce(current + 1, 0) AS next_current FROM g""",
     "append_fold": _fold(False) + _NUMBERED,
+    "stream_replay": f"WITH {_ONCE} SELECT partition_id, partition_sequence, event_id FROM once",
+    "sequence_gap": f"""WITH {_ONCE}, e AS (SELECT partition_id, partition_sequence, stream_version AS v, CASE WHEN partition_sequence > 0 THEN partition_sequence - 1 END AS c FROM once)
+SELECT partition_id, partition_sequence, CASE WHEN c IS NULL OR v > c THEN 'behind' WHEN v < c THEN 'ahead' ELSE 'none' END AS kind, CASE WHEN c IS NULL THEN v + 1 WHEN v <> c THEN abs(v - c) END AS n FROM e""",
     "append_any_versions": _D + "SELECT event_no AS request_no, stream_id, 'OK' AS status, stream_version, partition_id, partition_sequence FROM log",
     "strict_mode": _fold(True) + "SELECT CASE WHEN ok THEN 'OK' WHEN e IN ('any', 'exists') THEN 'INVALIDARG' ELSE 'WRONGVER' END AS status, count(*) AS n FROM j GROUP BY ALL",
     "sub_all_from_map_default": f"WITH {_ONCE} " + _sub("partition_sequence >= CASE partition_id WHEN 25 THEN 100 WHEN 1 THEN 40 ELSE 10 END"),
