@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.scratch import free_name
@@ -21,25 +21,35 @@ def first_copies(df: DataFrame, identifier: Sequence[str], arrival: Sequence[str
     Rows with a null in ``identifier`` identify no message and are all kept.
     Rows equal in every ``arrival`` column are interchangeable; one is kept.
     """
+    known = _known(identifier)
+    return _firsts(df.where(known), identifier, arrival).unionByName(df.where(~known))
+
+
+def _known(identifier: Sequence[str]) -> Column:
     known = F.lit(True)
     for c in identifier:
         known = known & F.col(c).isNotNull()
+    return known
+
+
+def _firsts(known: DataFrame, identifier: Sequence[str], arrival: Sequence[str]) -> DataFrame:
     order = [F.col(c).asc_nulls_last() for c in arrival]
-    rank = free_name(df, "_rank")
-    ranked = df.where(known).withColumn(rank, F.row_number().over(Window.partitionBy(*identifier).orderBy(*order)))
-    return ranked.where(F.col(rank) == 1).drop(rank).unionByName(df.where(~known))
+    rank = free_name(known, "_rank")
+    ranked = known.withColumn(rank, F.row_number().over(Window.partitionBy(*identifier).orderBy(*order)))
+    return ranked.where(F.col(rank) == 1).drop(rank)
 
 
 def surplus_copies(df: DataFrame, identifier: Sequence[str], arrival: Sequence[str], row_id: str) -> DataFrame:
     """The ``row_id`` of every row that is not a first copy.
 
     The complement is taken by an anti join on ``row_id``, which is unique, so
-    it is spread evenly however large a group of copies is. Rows with a null
-    ``row_id`` cannot be named and do not appear.
+    it is spread evenly however large a group of copies is. Rows with a null in
+    ``identifier`` are copies of nothing; rows with a null ``row_id`` cannot be
+    named and do not appear.
     """
-    kept = free_name(df, "_kept")
-    keep = first_copies(df, identifier, arrival).select(F.col(row_id).alias(kept))
-    return df.select(row_id).join(keep, F.col(row_id) == F.col(kept), "left_anti").where(F.col(row_id).isNotNull())
+    known, kept = df.where(_known(identifier)), free_name(df, "_kept")
+    keep = _firsts(known, identifier, arrival).select(F.col(row_id).alias(kept))
+    return known.where(F.col(row_id).isNotNull()).select(row_id).join(keep, F.col(row_id) == F.col(kept), "left_anti")
 
 
 def only_unseen(batch: DataFrame, seen: DataFrame, identifier: Sequence[str], arrival: Sequence[str]) -> DataFrame:
