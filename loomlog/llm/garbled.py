@@ -35,7 +35,7 @@ STRETCH = r"(?<![^ \t\r\n])[\x00-\x08\x0b\x0c\x0e-\x1f\x21-\x7f]*+[^\x00-\x7F][^
 _STRETCH = re.compile(STRETCH)
 _QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
 _WORD = re.compile(r"[^\W\d_]+")
-_DIGIT = re.compile(r"\d")
+_DIGIT = re.compile(r"[0-9]")
 WILD = -1
 
 # Encodings of written and of read text, as (written, read) channels.
@@ -132,6 +132,9 @@ class Model:
         self._log: dict[str, float] = {}
         self._low = math.log(0.01 / (self.n_chars + 500))
 
+    def tables(self) -> tuple:
+        return self.words, self.chars, self.pairs, self.n_words, self.n_chars
+
     def char(self, c: str) -> float:
         n = self.chars.get(c)
         return math.log(n / (self.n_chars + 500)) if n else self._low
@@ -207,7 +210,7 @@ def _viterbi(slots: list[list[tuple[str, float]]], model: Model) -> tuple[str, f
         nxt: dict[str, tuple[float, tuple | None]] = {}
         for c, extra in options:
             low = c.lower()
-            low = "0" if low.isdigit() else low[0] if low else low
+            low = "0" if "0" <= low <= "9" else low[0] if low else low
             best, back = -math.inf, None
             for p, (v, link) in beam.items():
                 s = v + (extra if c == LOST else model.pair(p if p != LOST else "^", low))
@@ -289,7 +292,7 @@ def structural(stretch: str) -> bool:
 class Decoder:
     """Emissions of all channels for a stretch, and the search over a document."""
 
-    def __init__(self, model: Model, enter_utf8: float = 5.0, enter: float = 12.0, leave: float = 1.0):
+    def __init__(self, model: Model, enter_utf8: float = 5.0, enter: float = 14.0, leave: float = 1.0):
         self.model, self.leave = model, leave
         self.enter = [0.0] + [enter_utf8 if w.startswith("utf-8") else enter for w, _ in CHANNELS[1:]]
         self._memo: dict[str, tuple[float, list]] = {}
@@ -355,6 +358,16 @@ class Decoder:
                     out.append((c, s, text))
         return own, out
 
+    def suspect(self, stretch: str) -> bool:
+        """Whether a damaged channel explains a stretch better than the intact one.
+
+        At the price of entering the channel, or half of it for a stretch with
+        several characters to tell by.
+        """
+        own, read = self.readings(stretch)
+        price = 0.5 if sum(c > "\x7f" for c in stretch) > 2 else 1.0
+        return any(score - own > self.enter[c] * price for c, score, _ in read)
+
     def document(self, text: str) -> tuple[list[tuple[int, int, int, str]], float]:
         """([(start, end, channel, restored)], gain in log likelihood) of the damaged stretches."""
         quoted = [m.span() for m in _QUOTED.finditer(text)] if "`" in text else []
@@ -379,10 +392,13 @@ class Decoder:
             nxt: dict[int, tuple[float, tuple | None]] = {0: (home, home_link)}
             for c, score, restored in read:
                 stay = live.get(c)
-                v, link = home - self.enter[c], home_link
+                # one character alone is too little to enter a channel by, if its bytes have no structure
+                alone = len(s) == 1 and not CHANNELS[c][0].startswith("utf-8") and LOST not in s
+                v, link = -math.inf if alone else home - self.enter[c], home_link
                 if c and stay is not None and stay[0] >= v:
                     v, link = stay
-                nxt[c] = (v + score - own, (link, i, c, restored))
+                if v > -math.inf:
+                    nxt[c] = (v + score - own, (link, i, c, restored))
             best = max(v for v, _ in nxt.values())
             live = {c: x for c, x in nxt.items() if x[0] > best - 40 or c == 0}
         gain, link = max(live.values(), key=lambda x: x[0])
@@ -397,20 +413,32 @@ class Decoder:
 MODEL_SCHEMA = "kind string, key string, n bigint"
 
 
-def frequencies(docs: DataFrame, text: str = "text", rare: float = RARE) -> Model:
+def frequencies(docs: DataFrame, text: str = "text", rare: float = RARE, rounds: int = 2) -> Model:
     """Count words, characters and pairs over every undamaged stretch of every text.
 
-    Distinct stretches are counted first, so their analysis is done once each;
-    what comes to the driver has at least the relative frequency ``rare`` in its
+    Distinct stretches are counted first, so their analysis is done once each.
+    A later round leaves out what the model of the round before reads better
+    through a damaged channel; else common damage would pass for a word. What
+    comes to the driver has at least the relative frequency ``rare`` in its
     kind, hence at most 1 / ``rare`` rows a kind.
     """
     found = docs.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(STRETCH), F.lit(0))).alias("stretch")).groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))
+    found = stage(found, "stretches")
+    model = None
+    for _ in range(rounds):
+        model = _count(found, rare, model)
+    return model
+
+
+def _count(found: DataFrame, rare: float, model: Model | None) -> Model:
+    shared = found.sparkSession.sparkContext.broadcast(model.tables()) if model else None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = Decoder(Model(*shared.value)) if shared else None
         for b in batches:
             words, chars, pairs = Counter(), Counter(), Counter()
             for s, n in zip(b["stretch"], b["n"]):
-                if structural(s):
+                if structural(s) or decoder and decoder.suspect(s):
                     continue
                 t = _DIGIT.sub("0", s.lower())
                 for w in _WORD.findall(t):
@@ -449,7 +477,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model
     """
     model = model or frequencies(docs, text, rare)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.words, model.chars, model.pairs, model.n_words, model.n_chars))
+    shared = spark.sparkContext.broadcast(model.tables())
     todo = docs.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(key), F.col(text).alias("_text"))
     state: dict = {}
 
