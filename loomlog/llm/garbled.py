@@ -15,6 +15,7 @@ relative frequency, of which there can be no more than its inverse.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -36,7 +37,10 @@ _STRETCH = re.compile(STRETCH)
 _QUOTED = re.compile(r"(?<!`)`[^`\n]+`(?!`)")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
+_CONTROL = re.compile("[\\x00-\\x1f\\x7f-\\x9f\\ue000-\\uf8ff]")
 WILD = -1
+#: Readings of a stretch with lost characters that are followed side by side.
+BEAM = 16
 
 # Encodings of written and of read text, as (written, read) channels.
 UTF8_READ_AS = ["western", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp866", "koi8-r", "mac_roman", "iso8859-2", "gbk", "cp932", "big5", "euc_kr"]
@@ -130,14 +134,15 @@ class Model:
                 self._skeletons[s] = (n, w)
         self._fits: dict[tuple, list[str]] = {}
         self._log: dict[str, float] = {}
-        self._low = math.log(0.01 / (self.n_chars + 500))
+        self.unseen = math.log(0.01 / (self.n_chars + 500))
+        self.known = {*self.chars, *map(chr, range(128))}
 
     def tables(self) -> tuple:
         return self.words, self.chars, self.pairs, self.n_words, self.n_chars
 
     def char(self, c: str) -> float:
         n = self.chars.get(c)
-        return math.log(n / (self.n_chars + 500)) if n else self._low
+        return math.log(n / (self.n_chars + 500)) if n else self.unseen
 
     def pair(self, a: str, b: str) -> float:
         """log P(b | a), backed off to the frequency of b."""
@@ -218,7 +223,7 @@ def _viterbi(slots: list[list[tuple[str, float]]], model: Model) -> tuple[str, f
                     best, back = s, link
             if best > nxt.get(low, (-math.inf, None))[0]:
                 nxt[low] = (best, (back, c))
-        beam = nxt
+        beam = nxt if len(nxt) <= BEAM else dict(heapq.nlargest(BEAM, nxt.items(), key=lambda x: x[1][0]))
     v, link = max(beam.values(), key=lambda x: x[0])
     out = []
     while link is not None:
@@ -352,7 +357,8 @@ class Decoder:
                     text = bytes(data).decode(written)
             except UnicodeDecodeError:
                 continue
-            if text != stretch and not any(x < " " or "\x7f" <= x < "\xa0" or "\ue000" <= x <= "\uf8ff" for x in text):
+            # every unknown character costs at least ``unseen``, so most readings need no search
+            if text != stretch and len(set(text.lower()) - m.known) * m.unseen > own - 12 and not _CONTROL.search(text):
                 s = m.score(text)
                 if s > own - 12:
                     out.append((c, s, text))
