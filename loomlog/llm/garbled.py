@@ -15,7 +15,6 @@ relative frequency, of which there can be no more than its inverse.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -39,8 +38,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 _CONTROL = re.compile("[\\x00-\\x1f\\x7f-\\x9f\\ue000-\\uf8ff]")
 WILD = -1
-#: Readings of a stretch with lost characters that are followed side by side.
-BEAM = 16
+_NONE: frozenset[str] = frozenset()
 
 # Encodings of written and of read text, as (written, read) channels.
 UTF8_READ_AS = ["western", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp866", "koi8-r", "mac_roman", "iso8859-2", "gbk", "cp932", "big5", "euc_kr"]
@@ -136,6 +134,10 @@ class Model:
         self._log: dict[str, float] = {}
         self.unseen = math.log(0.01 / (self.n_chars + 500))
         self.known = {*self.chars, *map(chr, range(128))}
+        self._before: dict[str, set[str]] = {}
+        for k in self.pairs:
+            if len(k) == 2:
+                self._before.setdefault(k[1], set()).add(k[0])
 
     def tables(self) -> tuple:
         return self.words, self.chars, self.pairs, self.n_words, self.n_chars
@@ -155,6 +157,18 @@ class Model:
                 self._log.clear()
         return v
 
+    def after(self, a: str) -> float:
+        """What ``pair`` divides by after ``a``."""
+        return math.log(self.chars.get(a, 0) + 5)
+
+    def backoff(self, b: str) -> float:
+        """log P(b | a) of a pair that the model lacks, but for ``after``."""
+        return math.log(5) + self.char(b)
+
+    def before(self, b: str) -> set[str]:
+        """The characters that the model has before ``b``."""
+        return self._before.get(b, _NONE)
+
     def score(self, text: str) -> float:
         """log likelihood of a stretch; known words count as wholes where that is better."""
         s = _DIGIT.sub("0", text.lower())
@@ -208,23 +222,47 @@ def skeleton(word: str) -> str:
     return "".join(c if c.isascii() else "\0" for c in word)
 
 
-def _viterbi(slots: list[list[tuple[str, float]]], model: Model) -> tuple[str, float]:
-    """The likeliest string with one of the alternatives in each slot."""
-    beam: dict[str, tuple[float, tuple | None]] = {"^": (0.0, None)}
-    for options in slots:
-        nxt: dict[str, tuple[float, tuple | None]] = {}
-        for c, extra in options:
-            low = c.lower()
-            low = "0" if "0" <= low <= "9" else low[0] if low else low
-            best, back = -math.inf, None
-            for p, (v, link) in beam.items():
-                s = v + (extra if c == LOST else model.pair(p if p != LOST else "^", low))
-                if s > best:
-                    best, back = s, link
-            if best > nxt.get(low, (-math.inf, None))[0]:
-                nxt[low] = (best, (back, c))
-        beam = nxt if len(nxt) <= BEAM else dict(heapq.nlargest(BEAM, nxt.items(), key=lambda x: x[1][0]))
-    v, link = max(beam.values(), key=lambda x: x[0])
+def _low(c: str) -> str:
+    """The state that a character leaves behind: its small form, one digit for all."""
+    low = c.lower()
+    return "0" if "0" <= low <= "9" else low[0] if low else low
+
+
+def _step(states: dict, options: list[tuple[str, float]], model: Model, into: dict) -> None:
+    """Add to ``into`` the likeliest way from any state to each option; states are (log likelihood, link).
+
+    Exact without trying all pairs: a pair that the model lacks backs off to the
+    frequency of its second character, so one predecessor is the best of all
+    those; only the pairs that the model has are looked at one by one.
+    """
+    few = len(states) <= 4
+    if not few:
+        away = {}
+        for p, (v, link) in states.items():
+            away["^" if p == LOST else p] = max((v, link), away.get("^" if p == LOST else p, (-math.inf, None)), key=lambda x: x[0])
+        back_v, back_link = max(((v - model.after(p), link) for p, (v, link) in away.items()), key=lambda x: x[0])
+    lost_v, lost_link = max(states.values(), key=lambda x: x[0])
+    for c, extra in options:
+        low = _low(c)
+        if c == LOST:
+            best, link = lost_v + extra, lost_link
+        elif few:
+            best, link = max(((v + model.pair(p if p != LOST else "^", low), k) for p, (v, k) in states.items()), key=lambda x: x[0])
+        else:
+            best, link = back_v + model.backoff(low), back_link
+            seen = model.before(low)
+            for p in seen if len(seen) < len(away) else away:
+                got = away.get(p)
+                if got is not None and p in seen:
+                    s = got[0] + model.pair(p, low)
+                    if s > best:
+                        best, link = s, got[1]
+        if best > into.get(low, (-math.inf, None))[0]:
+            into[low] = (best, (link, c))
+
+
+def _spell(states: dict) -> tuple[str, float]:
+    v, link = max(states.values(), key=lambda x: x[0])
     out = []
     while link is not None:
         link, c = link
@@ -232,6 +270,16 @@ def _viterbi(slots: list[list[tuple[str, float]]], model: Model) -> tuple[str, f
     return "".join(reversed(out)), v
 
 
+def _viterbi(slots: list[list[tuple[str, float]]], model: Model) -> tuple[str, float]:
+    """The likeliest string with one of the alternatives in each slot."""
+    states: dict[str, tuple[float, tuple | None]] = {"^": (0.0, None)}
+    for options in slots:
+        nxt: dict[str, tuple[float, tuple | None]] = {}
+        _step(states, options, model, nxt)
+        states = nxt
+    return _spell(states)
+
+
 def _lattice_utf8(data: list[int], model: Model) -> list[list[tuple[str, float]]] | None:
     """Slots of a UTF-8 reading of bytes with wildcards; None if the known bytes rule one out."""
     slots: list[list[tuple[str, float]]] = []

@@ -84,3 +84,26 @@ def test_found(spark, model, corpus):
     assert G.find(spark.createDataFrame([], "doc_id int, text string")).count() == 0
     clean = spark.createDataFrame(list(enumerate(corpus)), "doc_id int, text string")
     assert G.find(clean, model=model).count() == 0
+
+
+def test_search_is_exact():
+    """A letter that is the 17th by its left neighbour can be the best by its right one."""
+    import itertools
+
+    letters = [chr(0xE0 + i) for i in range(24)]
+    chars = {"^": 100, "q": 50, "z": 5000, **{c: 1000 - 30 * i for i, c in enumerate(letters)}}
+    pairs = {"^q": 50, letters[20] + "z": 300, letters[22] + letters[3]: 200, **{"q" + c: 40 - i for i, c in enumerate(letters)}}
+    m = G.Model({}, chars, pairs, 0, sum(chars.values()))
+    options = [(c, 0.0) for c in letters] + [(G.LOST, -14.0)]
+    for slots in ([[("q", 0.0)], options, [("z", 0.0)]], [[("q", 0.0)], options, options, [("z", 0.0)]]):
+        def value(way):
+            v, p = 0.0, "^"
+            for c, extra in way:
+                v += extra if c == G.LOST else m.pair(p if p != G.LOST else "^", c)
+                p = c
+            return v
+
+        text, got = G._viterbi(slots, m)
+        best = max(itertools.product(*slots), key=value)
+        assert text == "".join(c for c, _ in best) and abs(got - value(best)) < 1e-9
+    assert G._viterbi([[("q", 0.0)], options, [("z", 0.0)]], m)[0] == "q" + letters[20] + "z"
