@@ -112,18 +112,23 @@ def read_transaction(log: DataFrame, event_id: str, partitions: int = ids.PARTIT
     return log.join(first, (F.col("partition_id") == F.col("_p")) & (F.col("transaction_id") == F.col("_t")) & (F.col("partition_sequence") >= F.col("_s"))).drop("_p", "_t", "_s")
 
 
-def transactions(log: DataFrame, commits: DataFrame, at_most: int = 10_000) -> DataFrame:
+def transactions(log: DataFrame, commits: DataFrame, block: int = 1 << 12) -> DataFrame:
     """Committed events per transaction: (transaction_id, partition_id, single, n, first/last sequence, event_ids in order).
 
-    The events of a transaction were written at once, so they fit in memory;
-    the ids of one with more than ``at_most`` events are null.
+    Ids are ordered and joined in blocks of the sequence, so no task holds the
+    events of a long transaction; only the text of its blocks comes together. That
+    list is one value: beyond the 2 GB of one (some 58 million ids) the query fails.
     """
-    c = committed(once(log), commits)
-    ordered = F.array_sort(F.collect_list(F.struct("partition_sequence", "event_id")))
-    g = c.groupBy("transaction_id").agg(
+    c = committed(once(log), commits).withColumn("_block", block_of("partition_sequence", block))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("event_id").isNotNull(), F.struct("partition_sequence", "event_id"))))
+    blocks = c.groupBy("transaction_id", "_block").agg(
         F.min("partition_id").alias("partition_id"), F.count(F.lit(1)).alias("n"), F.min("partition_sequence").alias("first_sequence"), F.max("partition_sequence").alias("last_sequence"), ordered.alias("e")
+    ).withColumn("ids", F.when(F.size("e") > 0, F.array_join("e.event_id", ","))).drop("e")
+    texts = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("_block", "ids"))))
+    g = blocks.groupBy("transaction_id").agg(
+        F.min("partition_id").alias("partition_id"), F.sum("n").alias("n"), F.min("first_sequence").alias("first_sequence"), F.max("last_sequence").alias("last_sequence"), texts.alias("t")
     )
-    return g.select("transaction_id", "partition_id", ids.single_event("transaction_id").alias("single"), "n", "first_sequence", "last_sequence", F.when(F.col("n") <= at_most, F.array_join("e.event_id", ",")).alias("event_ids"))
+    return g.select("transaction_id", "partition_id", ids.single_event("transaction_id").alias("single"), "n", "first_sequence", "last_sequence", F.when(F.size("t") > 0, F.array_join("t.ids", ",")).alias("event_ids"))
 
 
 def stream_index(log: DataFrame) -> DataFrame:

@@ -97,6 +97,22 @@ def test_transactions_hide_until_whole(spark):
     assert [r.partition_sequence for r in tail] == [2]
 
 
+def test_long_transactions_keep_all_ids(spark):
+    multi = "c3a16874-9c57-4a30-014e-b341d48e8a68"
+    df, rows = make(spark, streams=("a",), n=3)
+    first = rows[0]
+    at = EVENT.replace(",", "").split()[::2].index
+    rows = []
+    for i in range(10_050):
+        r = list(first)
+        r[at("event_id")], r[at("partition_sequence")], r[at("transaction_id")] = f"id{i}", i, multi
+        rows.append(tuple(r))
+    commits = spark.createDataFrame([(multi, 10_050)], COMMIT)
+    got = reads.transactions(spark.createDataFrame(rows, EVENT).repartition(5), commits).collect()
+    assert [(r.n, r.first_sequence, r.last_sequence) for r in got] == [(10_050, 0, 10_049)]
+    assert got[0].event_ids == ",".join(f"id{i}" for i in range(10_050))
+
+
 def test_watermarks_against_a_loop(spark):
     rng = random.Random(5)
     rows = [(p, s, rng.choice([2, 2, 2, 2, 2, 3, 1, None])) for p in range(20) for s in range(30) if rng.random() > 0.04]
