@@ -15,6 +15,7 @@ relative frequency, of which there can be no more than its inverse.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -109,6 +110,99 @@ def _chars_of(encoding: str) -> list[str]:
     return out
 
 
+_lost: dict[tuple[str, int | None], frozenset[int]] = {}
+_SPECIAL = re.compile(r"[^\x00-\x7f]+")
+_ONE_BYTE = {w for w, _ in SINGLE}
+
+
+def _lost_bytes(read: str, after: int | None) -> frozenset[int]:
+    """The bytes that an encoding has no character for when ``after`` follows (None: nothing, WILD: anything)."""
+    if (read, after) not in _lost:
+        out = set()
+        for b in range(128, 256):
+            try:
+                if after != WILD:
+                    bytes([b, after] if after is not None else [b]).decode("cp1252" if read == "western" else read)
+                    continue
+            except UnicodeDecodeError as e:
+                if e.start:
+                    continue
+            out.add(b)
+        _lost[read, after] = frozenset(out)
+    return _lost[read, after]
+
+
+def _with_lost(data: list[int], read: str) -> list | None:
+    """Bytes with the set of possible ones for each that was lost; None if the encoding loses none there."""
+    out: list = []
+    multi = read in ("gbk", "cp932", "big5", "euc_kr")
+    for x, after in zip(data, [*data[1:], None]):
+        if x == WILD:
+            x = _lost_bytes(read, after if multi else None)
+            if not x:
+                return None
+        out.append(x)
+    return out
+
+
+def _may(p: int | frozenset[int], x: int) -> bool:
+    return x in p if type(p) is not int else p == x or p == WILD and x > 127
+
+
+def _lengths(written: str, first: int | frozenset[int]) -> range:
+    """The lengths that the form of a character with this first byte can have."""
+    if written in _ONE_BYTE:
+        return range(1, 2)
+    if written == "utf-8":
+        if first == WILD:
+            return range(2, 5)
+        n = 2 if 0xC2 <= first < 0xE0 else 3 if 0xE0 <= first < 0xF0 else 4 if 0xF0 <= first < 0xF5 else 0
+        return range(n, n + 1) if n else range(0)
+    return range(4, 13) if written == "utf-8 2" else range(8, 37) if written == "utf-8 3" else range(1, 4)
+
+
+def _form(own: tuple, written: str) -> bool:
+    """Whether bytes with lost ones can be the form of a character that the corpus lacks."""
+    if written == "utf-8":
+        return all(x == WILD or 0x80 <= x < 0xC0 for x in own[1:])
+    first = own[0]
+    return (type(first) is not int or not 0 <= first < 128) and (not written.startswith("utf-8") or all(type(x) is not int or not 0 <= x < 128 for x in own))
+
+
+def _once_more(data: bytes, read: str) -> list[bytes]:
+    """UTF-8 of what the bytes look like in a one-byte encoding; undefined ones may stand for themselves."""
+    back: dict[int, list[str]] = {}
+    for c, b in _bytes_of(read).items():
+        back.setdefault(b, []).append(c)
+    ways = {"".join(chr(b) if b < 128 else back[b][k] if k < len(back.get(b, ())) else back.get(b, [chr(b)])[0] for b in data) for k in (0, 1)}
+    return [w.encode("utf-8") for w in sorted(ways)]
+
+
+def _encoded(c: str, written: str, read: str) -> list[bytes]:
+    """The forms of a character in a written encoding."""
+    try:
+        got = [c.encode("utf-8" if written.startswith("utf-8") else written)]
+    except UnicodeEncodeError:
+        return []
+    for _ in range(int(written[6:] or 1) - 1 if written.startswith("utf-8") else 0):
+        got = [b for g in got for b in _once_more(g, read)]
+    return got
+
+
+def _one_char(data: bytes, written: str, read: str) -> str | None:
+    """The character whose form in a written encoding is ``data``, if it is one."""
+    try:
+        text = data.decode("utf-8" if written.startswith("utf-8") else written)
+        for _ in range(int(written[6:] or 1) - 1 if written.startswith("utf-8") else 0):
+            again = to_bytes(text, read)
+            if again is None or WILD in again:
+                return None
+            text = bytes(again).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if len(text) == 1 else None
+
+
 @dataclass
 class Model:
     """Frequencies of words, characters and pairs of characters over all undamaged stretches of a corpus."""
@@ -120,17 +214,15 @@ class Model:
     n_chars: int
 
     def __post_init__(self) -> None:
-        self._by_bytes: dict[int, list[tuple[bytes, str]]] = {}
-        for c in self.chars:
-            if c >= "\x80" and c != LOST:
-                b = c.encode("utf-8", "ignore")
-                self._by_bytes.setdefault(len(b), []).append((b, c))
+        self._by_bytes: dict[tuple, dict[int, list[tuple[bytes, str]]]] = {}
+        self._words_by: dict[tuple, list[tuple[int, str]]] = {}
+        self._whole: dict[tuple, list[tuple[str, float]]] = {}
         self._skeletons: dict[str, tuple[int, str]] = {}
         for w, n in self.words.items():
             s = skeleton(w)
             if n > self._skeletons.get(s, (0, ""))[0]:
                 self._skeletons[s] = (n, w)
-        self._fits: dict[tuple, list[str]] = {}
+        self._fits: dict[tuple, list[tuple[str, float]]] = {}
         self._log: dict[str, float] = {}
         self.unseen = math.log(0.01 / (self.n_chars + 500))
         self.known = {*self.chars, *map(chr, range(128))}
@@ -191,18 +283,67 @@ class Model:
             p = c
         return t
 
-    def fits(self, pattern: tuple[int, ...]) -> list[str]:
-        """Characters of the corpus whose UTF-8 form has these bytes, WILD for any.
+    def options(self, written: str, read: str, own: tuple) -> list[tuple[str, float]]:
+        """What bytes of one character may be in a written encoding; lost ones are sets, or WILD for any."""
+        key = written, read if written[6:] else "", own
+        got = self._fits.get(key)
+        if got is None:
+            if all(type(x) is int and x >= 0 for x in own):
+                c = _one_char(bytes(own), written, read)
+                got = [(c, 0.0)] if c else []
+            else:
+                got = [(c, 0.0) for b, c in self._forms(written, read).get(len(own), ()) if all(map(_may, own, b))]
+                if _form(own, written):
+                    got.append((LOST, -14.0 if written.startswith("utf-8") else -25.0))
+            if len(self._fits) > 100_000:
+                self._fits.clear()
+            self._fits[key] = got
+        return got
 
-        A three-byte form of wildcards only is looked for among marks and
-        symbols: of an ideograph nothing is left to tell it by.
-        """
-        got = self._fits.get(pattern)
+    def _forms(self, written: str, read: str) -> dict[int, list[tuple[bytes, str]]]:
+        """The characters of the corpus by the length of their form in an encoding, small ones first."""
+        key = written, read if written[6:] else ""
+        if key not in self._by_bytes:
+            table: dict[int, list[tuple[bytes, str]]] = {}
+            small = [c for c in self.chars if c >= "\x80" and c != LOST]
+            for c in small + [c.upper() for c in small if len(c.upper()) == 1 and c.upper() != c]:
+                for b in _encoded(c, written, read):
+                    table.setdefault(len(b), []).append((b, c))
+            self._by_bytes[key] = table
+        return self._by_bytes[key]
+
+    def whole_words(self, written: str, own: tuple) -> list[tuple[str, float]]:
+        """(word, log likelihood) of the corpus words that bytes with lost ones may be: the commonest by last letter."""
+        key = written, own
+        got = self._whole.get(key)
         if got is None:
-            got = [c for b, c in self._by_bytes.get(len(pattern), ()) if all(p == WILD or p == x for p, x in zip(pattern, b))]
-            if len(pattern) > 2 and all(p == WILD for p in pattern):
-                got = [c for c in got if not c.isalpha()]
-            self._fits[pattern] = got
+            if not self._words_by:
+                for w, n in self.words.items():
+                    for utf8 in (True, False):
+                        self._words_by.setdefault((utf8, len(w.encode("utf-8", "ignore")) if utf8 else len(w), _SPECIAL.sub("\0", w)), []).append((n, w))
+                for found in self._words_by.values():
+                    found.sort(key=lambda x: -x[0])
+            letters = "".join(chr(x) if type(x) is int and 0 <= x < 128 else "\0" for x in own)
+            plain = letters.replace("\0", "")
+            loud = plain.isupper() and len(plain) > 1
+            best: dict[str, tuple[str, float]] = {}
+            for n, w in self._words_by.get((written == "utf-8", len(own), re.sub("\0+", "\0", letters.lower())), ()):
+                if w[-1] in best:
+                    continue
+                forms = [w.upper(), w] if loud else [w, w[0].upper() + w[1:], w.upper()]
+                for shown in forms:
+                    try:
+                        b = shown.encode(written)
+                    except UnicodeEncodeError:
+                        continue
+                    # plain letters stand as they are, small or not
+                    if len(b) == len(own) and all(_may(p, x) if not (type(p) is int and 0 <= p < 128) else x < 128 and chr(p).lower() == chr(x).lower() for p, x in zip(own, b)):
+                        kept = iter(plain)
+                        best[w[-1]] = "".join(next(kept) if c < "\x80" else c for c in shown), math.log(n / (self.n_words + 500))
+                        break
+            if len(self._whole) > 100_000:
+                self._whole.clear()
+            got = self._whole[key] = list(best.values())
         return got
 
     def fill(self, text: str) -> str:
@@ -280,38 +421,45 @@ def _viterbi(slots: list[list[tuple[str, float]]], model: Model) -> tuple[str, f
     return _spell(states)
 
 
-def _lattice_utf8(data: list[int], model: Model) -> list[list[tuple[str, float]]] | None:
-    """Slots of a UTF-8 reading of bytes with wildcards; None if the known bytes rule one out."""
-    slots: list[list[tuple[str, float]]] = []
-    i = 0
-    while i < len(data):
-        b = data[i]
-        if 0 <= b < 128:
-            slots.append([(chr(b), 0.0)])
-            i += 1
+def _lattice(data: list, written: str, read: str, model: Model) -> tuple[str, float] | None:
+    """The likeliest reading of bytes with lost ones as a written encoding; None if the known bytes rule one out.
+
+    Positions are joined by the forms that fit there, of any length that the
+    encoding has, and by known words over a whole run of letters; the search
+    chooses where characters begin and end.
+    """
+    words = {}
+    if written == "utf-8" or written in _ONE_BYTE:
+        at = 0
+        for run, members in itertools.groupby(data, lambda x: not (type(x) is int and 0 <= x < 128) or chr(x).isalpha()):
+            end = at + len(list(members))
+            if run and any(type(x) is not int or x < 0 for x in data[at:end]):
+                words[at] = end
+            at = end
+    at_byte: list[dict] = [{} for _ in range(len(data) + 1)]
+    at_byte[0] = {"^": (0.0, None)}
+    for i, x in enumerate(data):
+        states = at_byte[i]
+        if not states:
             continue
-        length = 0 if b == WILD else 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else -1
-        if length < 0:
-            return None
-        if not length:  # a run of wildcards: three for a mark, else two for a letter
-            run = 1
-            while i + run < len(data) and data[i + run] == WILD:
-                run += 1
-            length = 3 if run % 2 and run >= 3 else 2
-            if run == 1:
-                return None
-        own = tuple(data[i : i + length])
-        if len(own) < length or any(x != WILD and not 0x80 <= x < 0xC0 for x in own[1:]):
-            return None
-        if WILD not in own:
-            try:
-                slots.append([(bytes(own).decode("utf-8"), 0.0)])
-            except UnicodeDecodeError:
-                return None
+        if type(x) is int and 0 <= x < 128:
+            _step(states, [(chr(x), 0.0)], model, at_byte[i + 1])
         else:
-            slots.append([(c, 0.0) for c in model.fits(own)] + [(c.upper(), 0.0) for c in model.fits(own) if len(c.upper()) == 1 and c.upper() != c] + [(LOST, -14.0)])
-        i += length
-    return slots
+            for length in _lengths(written, x):
+                if i + length <= len(data):
+                    options = model.options(written, read, tuple(data[i : i + length]))
+                    if options:
+                        _step(states, options, model, at_byte[i + length])
+        if i in words:
+            v, link = max(states.values(), key=lambda s: s[0])
+            into = at_byte[words[i]]
+            for w, p in model.whole_words(written, tuple(data[i : words[i]])):
+                low = _low(w[-1])
+                if v + p > into.get(low, (-math.inf, None))[0]:
+                    into[low] = (v + p, (link, w))
+        at_byte[i] = {}
+    ends = at_byte[-1]
+    return _spell({p: (v + model.pair(p if p != LOST else "^", "$"), link) for p, (v, link) in ends.items()}) if ends else None
 
 
 #: Channel names by number; 0 is the intact one.
@@ -378,20 +526,17 @@ class Decoder:
                     continue
                 letters = [(x, 0.0) for x in _chars_of(written)[128:] if x and (x.lower() in m.chars)]
                 text, s = _viterbi([[(chr(x), 0.0)] if x != WILD else letters + [(LOST, -14.0)] for x in data], m)
-                out.append((c, max(s, m.score(text)), m.fill(stretch) if LOST not in m.fill(stretch) else text))
-                continue
-            if WILD in data:
-                if not written == "utf-8":
-                    continue
-                slots = _lattice_utf8(data, m)
-                if slots is None:
-                    continue
-                text, s = _viterbi(slots, m)
-                filled = m.fill("".join(o[0][0] if len(o) == 1 else LOST for o in slots))
+                filled = m.fill(stretch)
                 if LOST not in filled:
                     text = filled
-                    s = max(s, m.score(text))
-                out.append((c, s, text))
+                out.append((c, max(s, m.score(text)), text))
+                continue
+            if WILD in data:
+                # what was lost of UTF-8 may be any byte; of other encodings, and of text written twice, one that the reader lacks
+                known = data if written == "utf-8" else _with_lost(data, read)
+                got = _lattice(known, written, read, m) if known else None
+                if got and got[0] != stretch:
+                    out.append((c, max(got[1], m.score(got[0])), got[0]))
                 continue
             text = stretch
             try:
@@ -410,6 +555,8 @@ class Decoder:
                 s = m.score(text)
                 if s > own - 12:
                     out.append((c, s, text))
+        if LOST in stretch:  # where readings are alike, the one that any byte is lost in comes first
+            out.sort(key=lambda r: CHANNELS[r[0]][1] != "utf-8")
         return own, out
 
     def suspect(self, stretch: str) -> bool:

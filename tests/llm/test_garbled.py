@@ -107,3 +107,30 @@ def test_search_is_exact():
         best = max(itertools.product(*slots), key=value)
         assert text == "".join(c for c, _ in best) and abs(got - value(best)) < 1e-9
     assert G._viterbi([[("q", 0.0)], options, [("z", 0.0)]], m)[0] == "q" + letters[20] + "z"
+
+
+def test_lost_runs_are_cut_by_the_search():
+    """Three lost box characters, an emoji, and marks beside letters: no length is fixed."""
+    chars = {"^": 900, "├": 300, "─": 600, "ü": 300, "é": 300, "😀": 300, "“": 300, "”": 300, "f": 100, "r": 100, "ж": 40}
+    pairs = {"^├": 300, "├─": 300, "──": 300, "─$": 300, "^😀": 300, "😀$": 300, "^“": 300, "“ü": 250, "ü”": 250, "”$": 300}
+    m = G.Model({"éüéü": 30}, chars, pairs, 3000, 4000)
+    for text in ("├──", "😀", "“ü”"):
+        lost = G.LOST * len(text.encode())
+        got = {G.CHANNELS[c]: r for c, _, r in G.Decoder(m).readings(lost)[1]}
+        assert got["utf-8", "ascii"] == text, (text, got)
+
+
+def test_lost_bytes_of_other_written_encodings():
+    """Of cp866, cp1252 loses the five bytes that it lacks; a byte can be lost in text written twice as well."""
+    chars = {"^": 100, **{c: 100 for c in "привеэт"}}
+    way = "^привет$"
+    m = G.Model({}, chars, {a + b: 90 for a, b in zip(way, way[1:])} | {"^э": 50, "эт": 50, "т$": 90}, 0, 1200)
+    bad = "Эт".encode("cp866").decode("cp1252", "replace")
+    assert bad[0] == G.LOST
+    got = {G.CHANNELS[c]: r for c, _, r in G.Decoder(m).readings(bad)[1]}
+    assert got["cp866", "western"] == "Эт"
+    twice = sloppy(sloppy("свет", "utf-8", "cp1252"), "utf-8", "cp1252")
+    assert "\x81" in twice
+    m = G.Model({}, {"^": 100, **{c: 100 for c in "светпри"}}, {a + b: 90 for a, b in zip("^свет$", "свет$")}, 0, 1200)
+    got = {G.CHANNELS[c]: r for c, _, r in G.Decoder(m).readings(twice.replace("\x81", G.LOST))[1]}
+    assert got["utf-8 2", "western"] == "свет"
