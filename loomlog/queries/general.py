@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.functions.names import payload_number, uuid_key, with_event_type
 from loomlog.operators import dedupe, features, heavy, incremental, late
 from loomlog.operators.blocks import block_of
-from loomlog.scratch import stage
+from loomlog.scratch import new_folder, stage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -60,11 +61,47 @@ def event_type_names(types: DataFrame, most: int = 5_000) -> list[str]:
     return names
 
 
-def p5_features(spark: SparkSession, sf: str) -> DataFrame:
-    types = table(spark, sf, "event_types")
+ENTITY = ["partition_id", "stream_id"]
+
+
+def _typed_once(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Each event once, as (partition_id, stream_id, event_type, ts, amount)."""
     log = table(spark, sf, "event_log").withColumn("amount", payload_number("payload"))
-    once = events_once(log, "stream_id", "event_name", "timestamp_ns", "amount").withColumnRenamed("timestamp_ns", "ts")
-    return features.features(with_event_type(once, types), ["partition_id", "stream_id"], event_type_names(types))
+    once = events_once(log, "stream_id", "event_name", "timestamp_ns", "amount", *more).withColumnRenamed("timestamp_ns", "ts")
+    return with_event_type(once, table(spark, sf, "event_types"))
+
+
+def _new_store(spark: SparkSession) -> features.FeatureStore:
+    return features.FeatureStore(spark, new_folder(spark, "features"), ENTITY)
+
+
+def p5_features(spark: SparkSession, sf: str) -> DataFrame:
+    store = _new_store(spark)
+    store.refresh(_typed_once(spark, sf))
+    return store.read(event_type_names(table(spark, sf, "event_types")))
+
+
+#: A range that cuts a day at both ends, and how far clocks were off before they were set right.
+P5_RANGE = (1893546000123456789, 1893970000000000001)
+P5_SKEW_NS = 129_600_000_000_000
+
+
+def p5_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Features over a range, from a store that was filled early and then told of what changed.
+
+    The first fill lacks the events without a confirmation and has those without
+    a quorum under a wrong time; the second moves these to their days and adds
+    the others, recomputing only the days that either time lies in.
+    """
+    now = stage(_typed_once(spark, sf, "confirmation_count"), "typed")
+    weak = F.coalesce(F.col("confirmation_count") < 2, F.lit(True))
+    was = F.when(F.col("confirmation_count") < 2, F.col("ts") + P5_SKEW_NS).otherwise(F.col("ts"))
+    before = now.where("confirmation_count is not null").withColumn("ts", was)
+    store = _new_store(spark)
+    store.refresh(before)
+    moved = now.where(weak)
+    store.refresh(now, moved.select("ts").unionByName(moved.where("confirmation_count is not null").select(was.alias("ts"))))
+    return store.read(event_type_names(table(spark, sf, "event_types")), *P5_RANGE, edges=now)
 
 
 KEYS = ["partition_key", "partition_id", "stream_id"]
@@ -94,7 +131,7 @@ def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p4_found": p4_found, "p4_changelog": p4_changelog, "p4_hourly": p4_hourly, "p5_features": p5_features,
+    "p2_found": p2_found, "p4_found": p4_found, "p4_changelog": p4_changelog, "p4_hourly": p4_hourly, "p5_features": p5_features, "p5_store": p5_store,
     "p6_found": p6_found, "p6_keys": p6_keys, "p7_found": p7_found, "p7_kept": p7_kept,
 }
 
@@ -110,6 +147,27 @@ _UID = r"""CASE WHEN regexp_full_match(trim(event_id), '[0-9A-Fa-f]{32}') THEN l
   ELSE lower(replace(regexp_extract(trim(event_id), '[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}'), '-', '')) END"""
 _RANKED = f"WITH u AS (SELECT delivery_id, subscription_id, cursor_no, {_UID} AS uid FROM deliveries), r AS (SELECT *, row_number() OVER (PARTITION BY subscription_id, uid ORDER BY cursor_no, delivery_id) AS rk FROM u)"
 
+#: The names of the feature columns are data: they are read from this table, which is the same at every scale.
+TYPES_TABLE = "/root/testdata/sf0.001/event_types.parquet"
+
+
+def _features_sql(where: str = "true", types: str = TYPES_TABLE) -> str | None:
+    """One row per stream with the columns of every type written out; None where the table is missing."""
+    try:
+        names = sorted(set(pq.read_table(types, columns=["event_type"]).column(0).to_pylist()) - {None})
+    except OSError:
+        return None
+    text = "decode(payload)"
+    cells = [f"""coalesce(max(n) FILTER (event_type = '{t}'), 0) AS "{t}_n", max(last_ns) FILTER (event_type = '{t}') AS "{t}_last_ns", coalesce(max(amount) FILTER (event_type = '{t}'), 0) AS "{t}_amount\"""" for t in names]
+    return rf"""
+WITH once AS ({_ONCE}),
+e AS (SELECT o.partition_id, o.stream_id, t.event_type, o.timestamp_ns AS ts,
+  CASE WHEN json_valid(TRY({text})) THEN TRY_CAST(json_extract_string(TRY({text}), '$.amount') AS DECIMAL(28,6)) END AS amount
+  FROM once o LEFT JOIN event_types t ON regexp_replace(regexp_replace(lower(o.event_name), '[^\p{{L}}\p{{Nd}}]', '', 'g'), '\p{{Nd}}+$', '') = t.event_type WHERE {where}),
+g AS (SELECT partition_id, stream_id, event_type, count(*) AS n, max(ts) AS last_ns, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS amount FROM e GROUP BY ALL)
+SELECT partition_id, stream_id, {", ".join(cells)} FROM g GROUP BY partition_id, stream_id"""
+
+
 ORACLES = {
     "p2_found": """
 WITH a AS (SELECT subscription_id, max(cursor_no) AS acked FROM acks WHERE outcome = 'ok' GROUP BY subscription_id),
@@ -129,15 +187,6 @@ UNION ALL SELECT partition_id, hour, version, partition_sequence, CAST(1 AS INT)
     "p4_hourly": _LATE + """
 SELECT partition_id, hour, count(*) FILTER (arrived = 'on_time') AS published_count, count(*) FILTER (arrived = 'late') AS corrections,
   count(*) FILTER (arrived <> 'dropped') AS n, count(*) FILTER (arrived = 'dropped') AS dropped FROM c GROUP BY ALL""",
-    "p5_features": rf"""
-WITH once AS ({_ONCE}),
-e AS (SELECT o.partition_id, o.stream_id, t.event_type, o.timestamp_ns AS ts,
-  CASE WHEN json_valid(decode(payload)) THEN TRY_CAST(json_extract_string(decode(payload), '$.amount') AS DECIMAL(28,6)) END AS amount
-  FROM once o JOIN event_types t ON regexp_replace(regexp_replace(lower(o.event_name), '[^\p{{L}}\p{{Nd}}]', '', 'g'), '\p{{Nd}}+$', '') = t.event_type),
-s AS (SELECT DISTINCT partition_id, stream_id FROM e),
-g AS (SELECT partition_id, stream_id, event_type, count(*) AS n, max(ts) AS last_ns, sum(amount) AS amount FROM e GROUP BY ALL),
-b AS (SELECT s.partition_id, s.stream_id, t.event_type, coalesce(n, 0) AS n, last_ns, CAST(coalesce(amount, 0) AS DOUBLE) AS amount FROM s CROSS JOIN event_types t LEFT JOIN g USING (partition_id, stream_id, event_type))
-SELECT * FROM (PIVOT b ON event_type USING first(n) AS n, first(last_ns) AS last_ns, first(amount) AS amount GROUP BY partition_id, stream_id)""",
     "p6_keys": f"""
 WITH once AS ({_ONCE}),
 k AS (SELECT 'partition_key' AS key_field, partition_key AS key_value, timestamp_ns AS ts FROM once
@@ -151,3 +200,4 @@ SELECT key_field, key_value FROM k GROUP BY ALL HAVING count(*) >= 0.03 * (SELEC
     "p7_found": _RANKED + "SELECT delivery_id FROM r WHERE rk > 1",
     "p7_kept": _RANKED + "SELECT delivery_id, subscription_id, uid, cursor_no FROM r WHERE rk = 1",
 }
+ORACLES |= {k: q for k, q in {"p5_features": _features_sql(), "p5_store": _features_sql(f"timestamp_ns >= {P5_RANGE[0]} AND timestamp_ns < {P5_RANGE[1]}")}.items() if q}

@@ -7,6 +7,8 @@ and the plan behind the table starts at a file scan.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,13 +17,21 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder of its own, which
+    goes with the process; on a cluster, whose executors would each see another
+    disk under that name, nothing can be staged.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jdir.get() if jdir.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loomlog-scratch-")
+        atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -37,13 +47,24 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the scratch folder and return a scan of what was written."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the scratch folder.
+
+    It is deleted when the application ends, not before: a lazy result may
+    still read it, and lost executors read it again.
+    """
     path = f"{scratch_dir(spark)}/loomlog-{name}-{uuid.uuid4().hex}"
     _staged.append(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def stage(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write ``df`` to the scratch folder and return a scan of what was written."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, max_rows: int = 100_000, name: str = "side") -> DataFrame:

@@ -9,10 +9,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from loomlog.session import local_session
 
-    return local_session(4)
+    return local_session(4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch"))})
 
 
 @pytest.fixture(scope="session")
