@@ -4,17 +4,21 @@ What a consumer has processed is kept as disjoint intervals of sequence
 numbers, each with the version its records had. A run subtracts the intervals
 from what is available: the remaining gaps, late commits included, are its
 work. Output and merged intervals are published together by one marker.
+
+Intervals never cross a border between blocks of sequence numbers, so all that
+is ordered is ordered within a (consumer, part, block): however many records a
+part has and however often versions change in it, no task meets more than the
+borders that fit into a block.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.blocks import BLOCK, block_of
+from loomlog.publish import Published
+from loomlog.scratch import sized
 
 INTERVALS = "consumer string, part int, lo bigint, hi bigint, version int"
 
@@ -33,17 +37,13 @@ def to_intervals(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return island.groupBy("consumer", "part", "block", "island", "version").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).select("consumer", "part", "lo", "hi", "version")
 
 
-def merge_intervals(intervals: DataFrame) -> DataFrame:
-    """Join touching intervals of one version; a later part of the input has no precedence.
-
-    Interval lists are one row per gap, not per record, so the window over a
-    (consumer, part) stays small.
-    """
-    w = Window.partitionBy("consumer", "part").orderBy("lo", "hi")
+def merge_intervals(intervals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Join touching or overlapping intervals of one version within each block; they must lie in one each."""
+    w = Window.partitionBy("consumer", "part", "block").orderBy("lo", "hi")
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = reach.isNull() | (F.col("lo") > reach + 1) | ~F.col("version").eqNullSafe(F.lag("version").over(w))
-    g = intervals.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy("consumer", "part", "island", "version").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("consumer", "part", "lo", "hi", "version")
+    g = intervals.withColumn("block", block_of("lo", block)).withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return g.groupBy("consumer", "part", "block", "island", "version").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("consumer", "part", "lo", "hi", "version")
 
 
 def subtract(available: DataFrame, processed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -69,68 +69,61 @@ def subtract(available: DataFrame, processed: DataFrame, block: int = BLOCK) ->
     return seen.where(~covered).select("consumer", "part", "seq", "version")
 
 
-def pending(deliveries: DataFrame, acks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """What each subscription's next run has to process.
+def last_copies(deliveries: DataFrame, acks: DataFrame) -> DataFrame:
+    """(consumer, part, seq, done, old, found, new): the versions of each record's last copies at and above the last ack.
 
     ``deliveries``: (consumer, part, seq, cursor, tie, version); ``acks``:
-    (consumer, cursor) of successful runs. The last copy at or below the
-    largest acked cursor says which version was processed, the last copy above
-    it which version is available; a consumer without an ack starts at -1.
-    Rows with a null consumer, part, seq or cursor are no deliveries.
+    (consumer, cursor) of successful runs. ``old`` is the version of the last
+    copy at or below the largest acked cursor (``done``: there is one), ``new``
+    that of the last copy above it (``found``: there is one). A consumer without
+    an ack starts at -1. Rows with a null consumer, part, seq or cursor are no
+    deliveries.
     """
-    from loomlog.scratch import sized
-
     acked = sized(acks.where("consumer is not null and cursor is not null").groupBy("consumer").agg(F.max("cursor").alias("acked")), name="acked")
     d = deliveries.where("consumer is not null and part is not null and seq is not null and cursor is not null").join(acked, "consumer", "left")
     copy = F.struct("cursor", "tie", "version")
     after = F.col("cursor") > F.coalesce("acked", F.lit(-1))
     last = d.groupBy("consumer", "part", "seq").agg(F.max(F.when(~after, copy)).alias("old"), F.max(F.when(after, copy)).alias("new"))
-    processed = last.where("old is not null").select("consumer", "part", "seq", F.col("old.version").alias("version"))
-    available = last.where("new is not null").select("consumer", "part", "seq", F.col("new.version").alias("version"))
-    return subtract(available, to_intervals(processed, block), block)
+    return last.select("consumer", "part", "seq", F.col("old").isNotNull().alias("done"), F.col("old.version").alias("old"), F.col("new").isNotNull().alias("found"), F.col("new.version").alias("new"))
+
+
+def processed(last: DataFrame) -> DataFrame:
+    """The points (consumer, part, seq, version) that the last ack covers."""
+    return last.where("done").select("consumer", "part", "seq", F.col("old").alias("version"))
+
+
+def available(last: DataFrame) -> DataFrame:
+    """The points (consumer, part, seq, version) that were delivered above the last ack."""
+    return last.where("found").select("consumer", "part", "seq", F.col("new").alias("version"))
 
 
 class RunLedger:
     """Batches of output with their interval ledger, published atomically.
 
-    A run writes its output and the ledger that includes it to a directory of
-    its own, then creates one marker. Readers list markers only, so a run that
-    died anywhere before leaves nothing visible and its records stay pending;
-    a marker that exists already refuses the commit, so a retried run cannot
-    publish the same work twice.
+    A run writes its output and the ledger that includes it to a folder of its
+    own, then publishes that folder by one marker. Readers go by markers only,
+    so a run that died anywhere before leaves nothing visible and its records
+    stay pending; a number that is taken is refused, so of two runs over the
+    same records one fails and publishes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK):
+        self.spark, self.block = spark, block
+        self.published = Published(spark, path)
 
     def runs(self) -> list[tuple[int, str]]:
-        """(number, directory) of the published runs, in order."""
-        marks = self._Path(f"{self.path}/published")
-        if not self._fs.exists(marks):
-            return []
-        out = []
-        for s in self._fs.listStatus(marks):
-            with_name = s.getPath().getName()
-            if with_name.isdigit():
-                stream = self._fs.open(s.getPath())
-                try:
-                    out.append((int(with_name), bytes(stream.readAllBytes()).decode()))
-                finally:
-                    stream.close()
-        return sorted(out)
+        """(number, folder) of the published runs, in order."""
+        return self.published.runs()
 
     def intervals(self) -> DataFrame:
         """The ledger after the last published run."""
-        runs = self.runs()
-        return self.spark.read.schema(INTERVALS).parquet(f"{runs[-1][1]}/ledger") if runs else self.spark.createDataFrame([], INTERVALS)
+        last = self.published.last()
+        return self.spark.read.schema(INTERVALS).parquet(f"{last}/ledger") if last else self.spark.createDataFrame([], INTERVALS)
 
-    def output(self) -> DataFrame | None:
-        """All published output; None before the first run."""
-        runs = self.runs()
-        return self.spark.read.parquet(*[f"{d}/output" for _, d in runs]) if runs else None
+    def output(self, number: int | None = None) -> DataFrame | None:
+        """All published output, or that of one run; None if there is none."""
+        folders = [d for n, d in self.runs() if number is None or n == number]
+        return self.spark.read.parquet(*[f"{d}/output" for d in folders]) if folders else None
 
     def run(self, available: DataFrame, process=lambda df: df) -> int:
         """Process what is pending in ``available`` (consumer, part, seq, version); returns the run's number.
@@ -139,32 +132,28 @@ class RunLedger:
         and ledger speak of the same records even if the source changes
         meanwhile. A record whose version changed replaces its old interval.
         """
-        runs, old = self.runs(), self.intervals()
-        number = runs[-1][0] + 1 if runs else 0
-        folder = f"{self.path}/work/{number}-{int(time.time())}-{uuid.uuid4().hex[:8]}"
-        subtract(available, old).write.parquet(f"{folder}/taken")
+        number, old = self.published.next_number(), self.intervals()
+        folder = self.published.new_folder(number)
+        subtract(available, old, self.block).write.parquet(f"{folder}/taken")
         taken = self.spark.read.schema("consumer string, part int, seq bigint, version int").parquet(f"{folder}/taken")
         process(taken).write.parquet(f"{folder}/output")
-        fresh = to_intervals(taken).withColumn("fresh", F.lit(True))
-        cut = _without(old, to_intervals(taken).select("consumer", "part", "lo", "hi"))
-        merge_intervals(cut.unionByName(fresh.drop("fresh"))).write.parquet(f"{folder}/ledger")
-        stream = self._fs.create(self._Path(f"{self.path}/published/{number}"), False)
-        try:
-            stream.write(bytearray(folder.encode()))
-        finally:
-            stream.close()
+        fresh = to_intervals(taken, self.block)
+        cut = _without(old, fresh.select("consumer", "part", "lo", "hi"), self.block)
+        merge_intervals(cut.unionByName(fresh), self.block).write.parquet(f"{folder}/ledger")
+        self.published.publish(number, folder)
         return number
 
 
-def _without(intervals: DataFrame, holes: DataFrame) -> DataFrame:
-    """Intervals with the holes cut out, by one sorted sweep over all borders of a (consumer, part)."""
-    borders = intervals.select("consumer", "part", F.col("lo").alias("at"), F.lit(1).alias("a"), F.lit(0).alias("h"), F.struct("version").alias("v")).unionByName(
-        intervals.select("consumer", "part", (F.col("hi") + 1).alias("at"), F.lit(-1).alias("a"), F.lit(0).alias("h"), F.lit(None).cast("struct<version:int>").alias("v"))
-    ).unionByName(holes.select("consumer", "part", F.col("lo").alias("at"), F.lit(0).alias("a"), F.lit(1).alias("h"), F.lit(None).cast("struct<version:int>").alias("v"))).unionByName(
-        holes.select("consumer", "part", (F.col("hi") + 1).alias("at"), F.lit(0).alias("a"), F.lit(-1).alias("h"), F.lit(None).cast("struct<version:int>").alias("v"))
-    )
-    at = borders.groupBy("consumer", "part", "at").agg(F.sum("a").alias("a"), F.sum("h").alias("h"), F.first("v", True).alias("v"))
-    w = Window.partitionBy("consumer", "part").orderBy("at")
+def _without(intervals: DataFrame, holes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Intervals with the holes cut out, by one sorted sweep over the borders in each block; all lie in one each."""
+    none = F.lit(None).cast("struct<version:int>")
+    kinds = [(intervals, F.col("lo"), 1, 0, F.struct("version")), (intervals, F.col("hi") + 1, -1, 0, none), (holes, F.col("lo"), 0, 1, none), (holes, F.col("hi") + 1, 0, -1, none)]
+    borders = None
+    for df, at, a, h, v in kinds:
+        own = df.select("consumer", "part", block_of("lo", block).alias("block"), at.alias("at"), F.lit(a).alias("a"), F.lit(h).alias("h"), v.alias("v"))
+        borders = own if borders is None else borders.unionByName(own)
+    at = borders.groupBy("consumer", "part", "block", "at").agg(F.sum("a").alias("a"), F.sum("h").alias("h"), F.first("v", True).alias("v"))
+    w = Window.partitionBy("consumer", "part", "block").orderBy("at")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     swept = at.select("consumer", "part", F.col("at").alias("lo"), (F.lead("at").over(w) - 1).alias("hi"), F.sum("a").over(upto).alias("in_a"), F.sum("h").over(upto).alias("in_h"), F.last("v", True).over(upto).alias("v"))
     return swept.where("in_a > 0 and in_h = 0 and hi >= lo").select("consumer", "part", "lo", "hi", F.col("v.version").alias("version"))

@@ -13,10 +13,11 @@ spread over as many tasks as it has blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.blocks import BLOCK, block_of, block_rank, prefix_by_block
+from loomlog.scratch import stage
 
 HOUR_NS = 3_600_000_000_000
 
@@ -52,7 +53,10 @@ def changelog(events: DataFrame, period_ns: int = HOUR_NS, lateness_ns: int = 6
     (key, period), in order of arrival. ``counts`` (key, period, count, version)
     is the state that earlier runs left.
     """
-    seen = classify(events, period_ns, lateness_ns, highs, block)
+    return _corrections(classify(events, period_ns, lateness_ns, highs, block), counts)
+
+
+def _corrections(seen: DataFrame, counts: DataFrame | None) -> DataFrame:
     published = seen.where("arrived = 'on_time'").groupBy("key", "period").agg(F.count(F.lit(1)).alias("base"))
     if counts is not None:
         kept = counts.select("key", "period", F.col("count").alias("had"), F.col("version").alias("from_version"))
@@ -74,17 +78,24 @@ def deltas(log: DataFrame) -> DataFrame:
     ).where("sign > 0 or count > 0")
 
 
-def corrected_counts(events: DataFrame, period_ns: int = HOUR_NS, lateness_ns: int = 6 * HOUR_NS, block: int = BLOCK) -> DataFrame:
-    """(key, period, published_count, corrections, count, dropped): the state after all corrections.
+def corrected_counts(events: DataFrame, period_ns: int = HOUR_NS, lateness_ns: int = 6 * HOUR_NS, block: int = BLOCK, by: dict[str, Column] | None = None) -> DataFrame:
+    """The state after all corrections: what was published, and the deltas applied to it.
 
-    The count is what was published plus the net deltas; dropped events are
-    counted beside it, never in it.
+    Without ``by``: (key, period, published_count, corrections, count, dropped),
+    dropped events counted beside the count, never in it. With ``by`` (names and
+    expressions of key and period), the counts of a coarser key downstream:
+    (*by, count, version), which see the published counts and the deltas of the
+    finer ones and nothing else.
     """
-    seen = classify(events, period_ns, lateness_ns, None, block).where("arrived <> 'untimed'")
-    n = {a: F.count(F.when(F.col("arrived") == a, 1)) for a in ("on_time", "late", "dropped")}
-    return seen.groupBy("key", "period").agg(n["on_time"].alias("published_count"), n["late"].alias("corrections"), n["dropped"].alias("dropped")).select(
-        "key", "period", "published_count", "corrections", (F.col("published_count") + F.col("corrections")).alias("count"), "dropped"
-    )
+    seen = stage(classify(events, period_ns, lateness_ns, None, block).where("arrived <> 'untimed'").select("key", "period", "seq", "block", "arrived"), "arrived")
+    published = seen.groupBy("key", "period").agg(F.count(F.when(F.col("arrived") == "on_time", 1)).alias("count"), F.count(F.when(F.col("arrived") == "dropped", 1)).alias("dropped"))
+    changes = deltas(_corrections(seen, None))
+    if by:
+        names = list(by)
+        state = published.select(*[c.alias(n) for n, c in by.items()], "count").groupBy(*names).agg(F.sum("count").alias("count"), F.lit(0).cast("bigint").alias("version"))
+        return apply_deltas(state, changes.select(*[c.alias(n) for n, c in by.items()], "sign", "count"), names).where("count > 0")
+    now = apply_deltas(published.select("key", "period", "count", F.lit(0).cast("bigint").alias("version")), changes, ["key", "period"])
+    return published.withColumnRenamed("count", "published_count").join(now, ["key", "period"]).select("key", "period", "published_count", F.col("version").alias("corrections"), "count", "dropped")
 
 
 def apply_deltas(state: DataFrame, changes: DataFrame, by: list[str]) -> DataFrame:

@@ -26,13 +26,46 @@ def events_once(log: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition("partition_id", "_block").dropDuplicates(["partition_id", "_block", "partition_sequence"]).drop("_block")
 
 
-def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+def _delivered_points(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Deliveries and acks in the columns of the incremental operator."""
     d = table(spark, sf, "deliveries").select(
         F.col("subscription_id").alias("consumer"), F.col("partition_id").alias("part"), F.col("partition_sequence").alias("seq"),
         F.col("cursor_no").alias("cursor"), F.col("delivery_id").alias("tie"), F.col("confirmation_count").alias("version"),
     )
-    acks = table(spark, sf, "acks").where("outcome = 'ok'").select(F.col("subscription_id").alias("consumer"), F.col("cursor_no").alias("cursor"))
-    return incremental.pending(d, acks).select(F.col("consumer").alias("subscription_id"), F.col("part").alias("partition_id"), F.col("seq").alias("partition_sequence"))
+    return d, table(spark, sf, "acks").where("outcome = 'ok'").select(F.col("subscription_id").alias("consumer"), F.col("cursor_no").alias("cursor"))
+
+
+def _as_records(points: DataFrame) -> DataFrame:
+    return points.select(F.col("consumer").alias("subscription_id"), F.col("part").alias("partition_id"), F.col("seq").alias("partition_sequence"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The next run of a ledger whose last run is what the acks cover."""
+    last = stage(incremental.last_copies(*_delivered_points(spark, sf)), "copies")
+    ledger = incremental.RunLedger(spark, new_folder(spark, "ledger"))
+    ledger.run(incremental.processed(last))
+    return _as_records(ledger.output(ledger.run(incremental.available(last))))
+
+
+def p2_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records after a history: a run to half of what was acked, one that fails, its repetition, then the next."""
+    deliveries, acks = _delivered_points(spark, sf)
+    half = acks.where("cursor is not null").groupBy("consumer").agg(F.floor(F.max("cursor") / 2).alias("cursor"))
+    early = stage(incremental.last_copies(deliveries, half), "early")
+    last = stage(incremental.last_copies(deliveries, acks), "copies")
+    ledger = incremental.RunLedger(spark, new_folder(spark, "ledger"))
+    ledger.run(incremental.processed(early))
+
+    def dies(taken: DataFrame) -> DataFrame:
+        return taken.select("consumer", F.raise_error(F.lit("the run died")).cast("string").alias("seq"))
+
+    try:
+        ledger.run(incremental.processed(last), dies)
+    except Exception as e:  # noqa: BLE001  the failure is part of the history
+        if "the run died" not in str(e):
+            raise
+    ledger.run(incremental.processed(last))
+    return _as_records(ledger.output(ledger.run(incremental.available(last))))
 
 
 def _timed(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,6 +86,12 @@ def p4_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("key").alias("partition_id"), F.col("period").alias("hour"), "published_count", "corrections", F.col("count").alias("n"), "dropped")
 
 
+def p4_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts per day of all partitions, kept right by the deltas of the hourly counts below them."""
+    c = late.corrected_counts(_timed(spark, sf), by={"day": F.expr("period div 24L")})
+    return c.select("day", F.col("count").alias("n"), F.col("version").alias("corrections"))
+
+
 def event_type_names(types: DataFrame, most: int = 5_000) -> list[str]:
     """The event types in order; a dimension of more than ``most`` is refused, not cut."""
     names = [r[0] for r in types.select("event_type").where("event_type is not null").distinct().orderBy("event_type").limit(most + 1).collect()]
@@ -131,7 +170,7 @@ def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p4_found": p4_found, "p4_changelog": p4_changelog, "p4_hourly": p4_hourly, "p5_features": p5_features, "p5_store": p5_store,
+    "p2_found": p2_found, "p2_rounds": p2_rounds, "p4_found": p4_found, "p4_changelog": p4_changelog, "p4_hourly": p4_hourly, "p4_daily": p4_daily, "p5_features": p5_features, "p5_store": p5_store,
     "p6_found": p6_found, "p6_keys": p6_keys, "p7_found": p7_found, "p7_kept": p7_kept,
 }
 
@@ -187,6 +226,8 @@ UNION ALL SELECT partition_id, hour, version, partition_sequence, CAST(1 AS INT)
     "p4_hourly": _LATE + """
 SELECT partition_id, hour, count(*) FILTER (arrived = 'on_time') AS published_count, count(*) FILTER (arrived = 'late') AS corrections,
   count(*) FILTER (arrived <> 'dropped') AS n, count(*) FILTER (arrived = 'dropped') AS dropped FROM c GROUP BY ALL""",
+    "p4_daily": _LATE + """
+SELECT hour // 24 AS day, count(*) FILTER (arrived <> 'dropped') AS n, count(*) FILTER (arrived = 'late') AS corrections FROM c WHERE ts IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (arrived <> 'dropped') > 0""",
     "p6_keys": f"""
 WITH once AS ({_ONCE}),
 k AS (SELECT 'partition_key' AS key_field, partition_key AS key_value, timestamp_ns AS ts FROM once
@@ -200,4 +241,5 @@ SELECT key_field, key_value FROM k GROUP BY ALL HAVING count(*) >= 0.03 * (SELEC
     "p7_found": _RANKED + "SELECT delivery_id FROM r WHERE rk > 1",
     "p7_kept": _RANKED + "SELECT delivery_id, subscription_id, uid, cursor_no FROM r WHERE rk = 1",
 }
+ORACLES["p2_rounds"] = ORACLES["p2_found"]
 ORACLES |= {k: q for k, q in {"p5_features": _features_sql(), "p5_store": _features_sql(f"timestamp_ns >= {P5_RANGE[0]} AND timestamp_ns < {P5_RANGE[1]}")}.items() if q}

@@ -40,7 +40,9 @@ def test_pending_rules(spark):
     ]
     deliveries = spark.createDataFrame(d, "consumer string, part int, seq bigint, cursor bigint, tie bigint, version int")
     acks = spark.createDataFrame([("s", 3), ("s", 4), ("s", None), (None, 99)], "consumer string, cursor bigint")
-    got = sorted((r.consumer, r.seq) for r in inc.pending(deliveries, acks).collect())
+    last = inc.last_copies(deliveries, acks)
+    pending = inc.subtract(inc.available(last), inc.to_intervals(inc.processed(last)))
+    got = sorted((r.consumer, r.seq) for r in pending.collect())
     # 2 was processed and sent again unchanged, 4 was confirmed further and back
     assert got == [("s", 1), ("s", 3), ("t", 1)]
 
@@ -66,3 +68,52 @@ def test_runs_survive_failures(spark, tmp_path):
     assert sorted((r.lo, r.hi, r.version) for r in ledger.intervals().collect()) == [(0, 0, 1), (1, 1, 2), (2, 7, 1)]
     ledger.run(points(spark, late))
     assert ledger.output().count() == len(out)
+
+
+STEPS = ["taken", "output", "ledger", "marker", "rename"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_crash_at_any_step_leaves_no_trace(spark, tmp_path, monkeypatch, step):
+    ledger = inc.RunLedger(spark, str(tmp_path / "ledger"), block=4)
+    one = [("c", 0, i, 1) for i in (0, 1, 5)]
+    two = [*one[:2], ("c", 0, 5, 2), ("c", 0, 2, 1), ("c", 0, 9, 1)]
+    ledger.run(points(spark, one))
+    before = sorted(map(tuple, ledger.intervals().collect()))
+
+    class Crash(Exception):
+        pass
+
+    with monkeypatch.context() as m:
+        if step == "marker":  # died while the marker was written
+            m.setattr(ledger.published, "publish", lambda number, folder: ((tmp_path / "ledger/published/_new-x").write_text(""), (_ for _ in ()).throw(Crash())))
+        elif step == "rename":  # a file system that leaves an empty marker behind
+            m.setattr(ledger.published, "publish", lambda number, folder: ((tmp_path / f"ledger/published/{number}").write_text(""), (_ for _ in ()).throw(Crash())))
+        else:
+            real = type(points(spark, []).write).parquet
+
+            def write(self, path, *a, **k):
+                if path.endswith(step):
+                    raise Crash
+                return real(self, path, *a, **k)
+
+            m.setattr(type(points(spark, []).write), "parquet", write)
+        with pytest.raises(Crash):
+            ledger.run(points(spark, two))
+    assert sorted(map(tuple, ledger.intervals().collect())) == before and ledger.output().count() == 3
+    number = ledger.run(points(spark, two))
+    assert sorted((r.seq, r.version) for r in ledger.output(number).collect()) == [(2, 1), (5, 2), (9, 1)]
+    # intervals end at the borders of blocks of four
+    assert sorted((r.lo, r.hi, r.version) for r in ledger.intervals().collect()) == [(0, 2, 1), (5, 5, 2), (9, 9, 1)]
+
+
+def test_of_two_runs_with_one_number_one_wins(spark, tmp_path):
+    ledger = inc.RunLedger(spark, str(tmp_path / "ledger"))
+
+    def meanwhile(taken):
+        inc.RunLedger(spark, str(tmp_path / "ledger")).run(points(spark, [("c", 0, 1, 1)]))
+        return taken
+
+    with pytest.raises(Exception, match="already exists"):
+        ledger.run(points(spark, [("c", 0, 1, 1)]), meanwhile)
+    assert ledger.output().count() == 1 and ledger.intervals().count() == 1
