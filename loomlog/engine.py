@@ -4,51 +4,83 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.config import LogConfig
-from loomlog.errors import EngineError, invalid
-from loomlog.operators import append as appends
+from loomlog.errors import EngineError
 from loomlog.operators import confirm, reads
 from loomlog.plans import commands as c
+from loomlog.scratch import sized
 from loomlog.sources.log import wire
+from loomlog.sources.stored import StoredLog
 
 
 class Engine:
-    """Commands over a log and its commit records; reads see confirmed, committed events."""
+    """Commands over a log and its commit records; reads see confirmed, committed events.
 
-    def __init__(self, log: DataFrame, commits: DataFrame, config: LogConfig | None = None):
-        self.log, self.commits, self.config = log, commits, (config or LogConfig()).validate()
+    Over two DataFrames it only reads; ``open`` gives one over a stored log,
+    which it appends to, and which then sees its own writes. Watermarks are
+    computed once and staged, one row a partition; every read filters the log by
+    what it asks for first and looks up transactions of these rows only.
+    """
+
+    def __init__(self, log: DataFrame, commits: DataFrame, config: LogConfig | None = None, marks: DataFrame | None = None, store: StoredLog | None = None):
+        self.log, self.commits, self.config, self.store = log, commits, (config or LogConfig()).validate(), store
         self.spark: SparkSession = log.sparkSession
-        quorum = self.config.quorum if self.config.replication_factor or self.config.nodes > 1 else 2
-        self.marks = confirm.watermarks(log, quorum)
-        self.visible = reads.visible(log, commits, quorum, self.marks)
+        self._marks = marks
         self.subscriptions: dict[str, tuple[c.Subscribe, int | None]] = {}
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, config: LogConfig | None = None) -> Engine:
+        """An engine over the stored log at ``path``, which is made if there is none."""
+        store = StoredLog(spark, path, config)
+        return cls(store.events(), store.commits(), store.config, store=store)
+
+    @property
+    def marks(self) -> DataFrame:
+        if self._marks is None:
+            self._marks = sized(confirm.watermarks(self.log, self.config.quorum), 1 << 16, "marks")
+        return self._marks
+
+    @property
+    def visible(self) -> DataFrame:
+        return reads.visible(self.log, self.commits, self.config.quorum, self.marks)
+
+    def _refresh(self) -> None:
+        """See what was written: by this engine, or by others since it was opened."""
+        if self.store:
+            self.log, self.commits, self._marks = self.store.events(), self.store.commits(), None
+
+    def _seen(self, rows: DataFrame, partitions: Column) -> DataFrame:
+        """The visible ones of some rows of the partitions that the condition names."""
+        return reads.visible_among(rows, self.log.where(partitions), self.commits, self.marks)
+
     def execute(self, command: str | list[str]) -> DataFrame:
         """The reply of a command as a DataFrame; EngineError for one that is refused."""
-        r = c.parse(command)
+        r = c.parse(command, self.config.partitions)
+        partition = F.col("partition_id")
         if isinstance(r, c.GetEvent):
-            return wire(reads.get_event(self.visible, r.event_id, self.config.partitions))
+            p = c.hash_of(r.event_id) % self.config.partitions
+            return wire(self._seen(reads.get_event(self.log, r.event_id, self.config.partitions), partition == p))
         if isinstance(r, c.ScanStream):
-            p = c.hash_of(r.partition_key or c.default_key(r.stream_id)) % self.config.partitions
-            return reads.page(reads.scan_stream(self.visible, r.stream_id, r.start, r.end, p, r.count + 1), "stream_version", r.count)
+            seen = self._stream(r.stream_id, r.partition_key, F.col("stream_version") >= r.start, None if r.end is None else F.col("stream_version") <= r.end)
+            return reads.page(seen.orderBy("stream_version").limit(r.count + 1), "stream_version", r.count)
         if isinstance(r, c.ScanPartition):
             p = self._partition(r.partition)
-            scan = reads.scan_partition(self.visible, p, r.start, r.end, r.count + 1)
-            shown = reads.page(scan, "partition_sequence", r.count)
+            rows = reads.scan_partition(self.log, p, r.start, r.end, None)
+            seen = self._seen(rows, partition == p)
+            shown = reads.page(seen.orderBy("partition_sequence").limit(r.count + 1), "partition_sequence", r.count)
             if r.end is None:
                 return shown
             # more are there if confirmed events follow the last one returned, even past the requested end
             last = F.coalesce(F.element_at("events", -1)["partition_sequence"], F.lit(r.start - 1))
-            top = reads.partition_sequences(self.visible.where(F.col("partition_id") == p)).agg(F.max("partition_sequence").alias("top")).scalar()
+            top = self.marks.where(partition == p).agg((F.max("confirmed_watermark") - 1).alias("top")).scalar()
             return shown.select((F.coalesce(top, F.lit(-1)) > last).alias("has_more"), "events")
         if isinstance(r, c.StreamVersion):
-            p = c.hash_of(r.partition_key or c.default_key(r.stream_id)) % self.config.partitions
-            return reads.stream_version(self.visible, r.stream_id, p)
+            return self._stream(r.stream_id, r.partition_key).agg(F.max("stream_version").alias("stream_version"))
         if isinstance(r, c.PartitionSequence):
-            return reads.confirmed_sequences(self.marks.where(F.col("partition_id") == self._partition(r.partition)))
+            return reads.confirmed_sequences(self.marks.where(partition == self._partition(r.partition)))
         if isinstance(r, c.Append):
             return self.append(r)
         if isinstance(r, c.Subscribe):
@@ -61,30 +93,51 @@ class Engine:
             return self.spark.range(1).select(F.lit(self.acknowledge(r.subscription_id, r.cursor)).cast("bigint").alias("acked"))
         return self.cache_info()
 
+    def _stream(self, stream_id: str, key: str | None, *where: Column | None) -> DataFrame:
+        """The visible events of a stream, which lives in the bucket of its key."""
+        p = c.hash_of(key or c.default_key(stream_id)) % self.config.partitions
+        rows = reads.stream_of(self.log, stream_id, p, self.config.buckets)
+        for w in where:
+            rows = rows if w is None else rows.where(w)
+        return self._seen(rows, F.col("partition_id") % self.config.buckets == p % self.config.buckets)
+
     def _partition(self, p: int | str) -> int:
         return p if isinstance(p, int) else c.hash_of(p) % self.config.partitions
 
     def append(self, r: c.Append) -> DataFrame:
-        """Judge an append against the streams of the log that it names."""
-        for e in r.events:
-            if self.config.strict_versioning and e.expected_version in ("any", "exists"):
-                raise invalid(f"strict versioning mode rejects EXPECTED_VERSION {e.expected_version}")
-            key = e.partition_key or r.partition_key or c.default_key(e.stream_id)
-            if e.event_id and c.hash_of(e.event_id) != c.hash_of(key):
-                raise invalid("the event id must embed the partition hash")
-        key = r.partition_key or c.default_key(r.events[0].stream_id)
-        p = c.hash_of(key) % self.config.partitions
-        bucket = p % self.config.buckets
-        names = sorted({e.stream_id for e in r.events})
-        own = self.log.where(F.col("stream_id").isin(names) & (F.col("partition_id") % self.config.buckets == bucket))
-        now = {s: (k, v) for s, k, v in reads.stream_versions(own).select("stream_id", "partition_key", "stream_version").collect()}
-        verdicts, _ = appends.fold_transaction(now, [(e.stream_id, key, e.expected_version, None) for e in r.events])
-        if verdicts[0][0] != "OK":
-            raise EngineError(verdicts[0][0], verdicts[0][1])
-        top = self.log.where(F.col("partition_id") == p).agg(F.max("partition_sequence")).first()[0]
-        first = 0 if top is None else top + 1
-        rows = [(key, p, first + i, e.stream_id, e.event_name, v[2], e.timestamp_ms) for i, (e, v) in enumerate(zip(r.events, verdicts))]
-        return self.spark.createDataFrame(rows, "partition_key string, partition_id int, partition_sequence bigint, stream_id string, event_name string, stream_version bigint, timestamp bigint")
+        """Append the events of a command, all or none; EngineError if they are refused.
+
+        One row an event: event_id, partition_key, partition_id,
+        partition_sequence, stream_id, stream_version, timestamp, and the first
+        and last sequence of the whole. It is stored when this returns. Without
+        a stored log there is nothing to append to.
+        """
+        if self.store is None:
+            raise EngineError("DBOPFAILED", "this engine has no stored log to append to")
+        rows = []
+        for i, e in enumerate(r.events):
+            key = r.partition_key or e.partition_key or c.default_key(e.stream_id)
+            rows.append((i, 0, e.stream_id, e.event_name, e.expected_version, key, e.event_id, e.timestamp_ms, bytearray(e.payload), bytearray(e.metadata)))
+        requests = self.spark.createDataFrame(rows, "request_no bigint, tx_no bigint, stream_id string, event_name string, expected_version string, partition_key string, event_id string, timestamp_ms bigint, payload binary, metadata binary")
+        reply = self.store.append(requests, atomic=True).orderBy("request_no").collect()  # as many rows as the command has events
+        if reply[0].status != "OK":
+            raise EngineError(reply[0].status, reply[0].message)
+        self._refresh()
+        first, last = reply[0].partition_sequence, reply[-1].partition_sequence
+        out = [(x.event_id, x.partition_key, x.partition_id, x.partition_sequence, x.stream_id, x.stream_version, x.timestamp, first, last) for x in reply]
+        return self.spark.createDataFrame(out, "event_id string, partition_key string, partition_id int, partition_sequence bigint, stream_id string, stream_version bigint, timestamp bigint, first_partition_sequence bigint, last_partition_sequence bigint")
+
+    def set_confirmations(self, updates: DataFrame) -> DataFrame:
+        """Set confirmation counts of stored events, all or none; the updates with their status."""
+        if self.store is None:
+            raise EngineError("DBOPFAILED", "this engine has no stored log to confirm in")
+        out = self.store.set_confirmations(updates)
+        self._refresh()
+        return out
+
+    def close(self) -> None:
+        """End the engine: what it appended is on disk already, open subscriptions end."""
+        self.subscriptions.clear()
 
     def subscribe(self, r: c.Subscribe) -> DataFrame:
         """Open a subscription: what it is sent of the history before its first ack, at most a window."""

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.blocks import BLOCK, block_of
+from loomlog.publish import Published
+from loomlog.scratch import sized
 
 MARKS = "partition_id int, confirmed_watermark bigint, highest_version bigint"
 
@@ -52,16 +54,17 @@ def gaps(marks: DataFrame) -> DataFrame:
 def unconfirmed(log: DataFrame, marks: DataFrame, quorum: int = 2) -> DataFrame:
     """Events at or above the watermark that lack a quorum: what holds a partition up.
 
-    One watermark per partition is a bounded side: partitions are 16-bit numbers.
+    The watermarks are broadcast if there are as few as partitions can be.
     """
-    return log.join(F.broadcast(marks.select("partition_id", "confirmed_watermark")), "partition_id").where(
+    return log.join(sized(marks.select("partition_id", "confirmed_watermark"), 1 << 16, "marks"), "partition_id").where(
         (F.col("partition_sequence") >= F.col("confirmed_watermark")) & (F.coalesce("confirmation_count", F.lit(0)) < quorum)
     )
 
 
-def stuck(pending: DataFrame, now_ns: int, min_attempts: int, min_age_ns: int) -> DataFrame:
-    """Unconfirmed events tried often enough and old enough: (…, attempts, first_seen_ns)."""
-    return pending.where((F.col("attempts") >= min_attempts) & (F.lit(now_ns) - F.col("first_seen_ns") >= min_age_ns))
+def stuck(pending: DataFrame, now_ns: int | str, min_attempts: int, min_age_ns: int) -> DataFrame:
+    """Unconfirmed events tried often enough and old enough: (…, attempts, first_seen_ns); ``now_ns``: a time or a column."""
+    now = F.col(now_ns) if isinstance(now_ns, str) else F.lit(now_ns)
+    return pending.where((F.col("attempts") >= min_attempts) & (now - F.col("first_seen_ns") >= min_age_ns))
 
 
 def stats(log: DataFrame, marks: DataFrame, quorum: int = 2, buckets: int = 4) -> DataFrame:
@@ -91,29 +94,57 @@ def confirm(log: DataFrame, claims: DataFrame) -> DataFrame:
     return claims.join(have, ["partition_id", "partition_sequence"], "left").withColumn("status", status).drop("stored_id")
 
 
+def check_updates(log: DataFrame, updates: DataFrame) -> DataFrame:
+    """Updates of confirmation counts with their status: OK, or why they cannot be made.
+
+    ``updates``: partition_id, partition_sequence, confirmation_count and, where
+    it matters, transaction_id (null: whatever the event has). Of several for
+    one event the highest count holds. A count lies between 0 and 12.
+    """
+    tx = F.col("transaction_id") if "transaction_id" in updates.columns else F.lit(None).cast("string")
+    u = updates.select("partition_id", "partition_sequence", "confirmation_count", tx.alias("transaction_id")).groupBy("partition_id", "partition_sequence", "transaction_id").agg(F.max("confirmation_count").alias("confirmation_count"))
+    have = log.select(F.col("partition_id").alias("_p"), F.col("partition_sequence").alias("_s"), F.col("transaction_id").alias("_t"))
+    j = u.join(have, (F.col("partition_id") == F.col("_p")) & (F.col("partition_sequence") == F.col("_s")), "left")
+    status = F.when(F.col("_s").isNull(), "NOTFOUND").when(F.col("transaction_id") != F.col("_t"), "NOTFOUND").when(
+        F.coalesce(~F.col("confirmation_count").between(0, 12), F.lit(True)), "INVALIDARG"
+    ).otherwise("OK")
+    return j.select("partition_id", "partition_sequence", "transaction_id", "confirmation_count", status.alias("status"))
+
+
 class Snapshots:
     """Watermarks on disk: every save is a new directory, published by one marker; the last published is current."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def numbers(self) -> list[int]:
-        folder = self._Path(f"{self.path}/published")
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit()) if self._fs.exists(folder) else []
+        self.spark, self.published = spark, Published(spark, path)
 
     def load(self) -> DataFrame | None:
-        n = self.numbers()
-        return self.spark.read.schema(MARKS).parquet(f"{self.path}/snapshot={n[-1]}") if n else None
+        last = self.published.last()
+        return self.spark.read.schema(MARKS).parquet(f"{last}/marks") if last else None
 
     def save(self, marks: DataFrame) -> int:
         """Publish new watermarks; none of them moves back behind the current ones."""
-        now = self.load()
+        number, now = self.published.next_number(), self.load()
         if now is not None:
             both = marks.select(*now.columns).unionByName(now)
             marks = both.groupBy("partition_id").agg(F.max("confirmed_watermark").alias("confirmed_watermark"), F.max("highest_version").alias("highest_version"))
-        n = (self.numbers() or [-1])[-1] + 1
-        marks.write.mode("overwrite").parquet(f"{self.path}/snapshot={n}")
-        self._fs.create(self._Path(f"{self.path}/published/{n}"), False).close()
-        return n
+        folder = self.published.new_folder(number)
+        marks.write.parquet(f"{folder}/marks")
+        self.published.publish(number, folder)
+        return number
+
+    def due(self, changes: int, seconds: float) -> bool:
+        """Whether it is time to save: after more than 100 changes or 5 seconds."""
+        return changes > 100 or seconds > 5 and changes > 0
+
+    def reopen(self, log: DataFrame, quorum: int = 2) -> DataFrame:
+        """Watermarks after a restart: the saved ones, moved on by the events stored since; only these are read."""
+        now = self.load()
+        if now is None:
+            return watermarks(log, quorum)
+        saved = sized(now.select(F.col("partition_id").alias("_p"), F.col("confirmed_watermark").alias("_w")), 1 << 16, "marks")
+        later = log.join(saved, F.col("partition_id") == F.col("_p"), "left").where(F.coalesce("_w", F.lit(0)) <= F.col("partition_sequence"))
+        shifted = later.withColumn("partition_sequence", F.col("partition_sequence") - F.coalesce("_w", F.lit(0)))
+        moved = watermarks(shifted, quorum).select("partition_id", F.col("confirmed_watermark").alias("more"), F.col("highest_version").alias("top"))
+        both = now.join(moved, "partition_id", "full")
+        base = F.coalesce("confirmed_watermark", F.lit(0))
+        return both.select("partition_id", (base + F.coalesce("more", F.lit(0))).alias("confirmed_watermark"), F.greatest(F.col("highest_version"), base + F.col("top")).alias("highest_version"))

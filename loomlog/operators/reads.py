@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions import ids
 from loomlog.operators.blocks import BLOCK, block_of
 from loomlog.operators.confirm import watermarks
+from loomlog.scratch import sized
 from loomlog.sources.log import once, wire
 
 DEFAULT_COUNT = 100
@@ -20,22 +21,48 @@ def committed(log: DataFrame, commits: DataFrame) -> DataFrame:
     multi-event transactions. A commit without a count commits what is there.
     """
     single = ids.single_event("transaction_id")
-    counts = log.where(~single).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
-    done = commits.where("transaction_id is not null").groupBy("transaction_id").agg(F.max("event_count").alias("event_count"))
-    whole = counts.join(done, "transaction_id").where(F.col("event_count").isNull() | (F.col("event_count") == F.col("n"))).select(F.col("transaction_id").alias("_tx"))
-    kept = log.where(~single).join(whole, F.col("transaction_id") == F.col("_tx"), "left_semi")
+    kept = log.where(~single).join(_whole(log, commits), F.col("transaction_id") == F.col("_tx"), "left_semi")
     return log.where(single).unionByName(kept)
 
 
+def _whole(log: DataFrame, commits: DataFrame) -> DataFrame:
+    """Ids (_tx) of the transactions of several events that are complete in ``log``."""
+    counts = log.where(~ids.single_event("transaction_id")).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
+    done = commits.where("transaction_id is not null").groupBy("transaction_id").agg(F.max("event_count").alias("event_count"))
+    return counts.join(done, "transaction_id").where(F.col("event_count").isNull() | (F.col("event_count") == F.col("n"))).select(F.col("transaction_id").alias("_tx"))
+
+
+def below_watermark(log: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of the log under the watermark of their partition; the side of watermarks is broadcast if it fits."""
+    w = sized(marks.select(F.col("partition_id").alias("_p"), F.col("confirmed_watermark").alias("_w")), 1 << 16, "marks")
+    return log.join(w, (F.col("partition_id") == F.col("_p")) & (F.col("partition_sequence") < F.col("_w"))).drop("_p", "_w")
+
+
 def visible(log: DataFrame, commits: DataFrame, quorum: int = 2, marks: DataFrame | None = None) -> DataFrame:
-    """Committed events below the confirmed watermark of their partition.
+    """Committed events below the confirmed watermark of their partition."""
+    below = below_watermark(once(log), marks if marks is not None else watermarks(log, quorum))
+    return committed(below, commits)
+
+
+def visible_among(rows: DataFrame, log: DataFrame, commits: DataFrame, marks: DataFrame) -> DataFrame:
+    """The visible ones of some rows of a log, for reads of few of them.
 
-    The side of watermarks has one row per partition, at most 65 536.
+    Whether a transaction is complete is looked up for the transactions of the
+    rows only, in ``log``, which may be cut to their partitions.
     """
-    events = once(log)
-    w = (marks if marks is not None else watermarks(log, quorum)).select(F.col("partition_id").alias("_p"), F.col("confirmed_watermark").alias("_w"))
-    below = events.join(F.broadcast(w), (F.col("partition_id") == F.col("_p")) & (F.col("partition_sequence") < F.col("_w"))).drop("_p", "_w")
-    return committed(below, commits)
+    single = ids.single_event("transaction_id")
+    own = below_watermark(once(rows), marks)
+    wanted = own.where(~single).select(F.col("partition_id").alias("_p"), F.col("transaction_id").alias("_t")).distinct()
+    several = log.where(~single).join(wanted, (F.col("partition_id") == F.col("_p")) & (F.col("transaction_id") == F.col("_t")), "left_semi")
+    whole = _whole(below_watermark(once(several), marks), commits)
+    return own.where(single).unionByName(own.where(~single).join(whole, F.col("transaction_id") == F.col("_tx"), "left_semi"))
+
+
+def filter_commit(events: DataFrame, stream_id: str) -> DataFrame:
+    """Transactions as a reader of one stream sees them: without the events of other streams; those with none of it are gone."""
+    return events.where(F.col("stream_id") == stream_id).groupBy("partition_id", "transaction_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("stream_version").alias("first_version"), F.max("stream_version").alias("last_version")
+    )
 
 
 def get_event(log: DataFrame, event_id: str, partitions: int = ids.PARTITIONS) -> DataFrame:
@@ -52,9 +79,9 @@ def stream_of(log: DataFrame, stream_id: str, partition: int | None = None, buck
     return own if partition is None else own.where(F.col("partition_id") % buckets == partition % buckets)
 
 
-def scan_stream(log: DataFrame, stream_id: str, start: int = 0, end: int | None = None, partition: int | None = None, count: int | None = DEFAULT_COUNT, reverse: bool = False) -> DataFrame:
+def scan_stream(log: DataFrame, stream_id: str, start: int = 0, end: int | None = None, partition: int | None = None, count: int | None = DEFAULT_COUNT, reverse: bool = False, buckets: int = ids.BUCKETS) -> DataFrame:
     """Events of a stream by version, both ends inclusive; ``reverse`` goes down from ``start``."""
-    s = stream_of(log, stream_id, partition)
+    s = stream_of(log, stream_id, partition, buckets)
     return _scan(s, "stream_version", start, end, count, reverse)
 
 
@@ -85,16 +112,16 @@ def page(scan: DataFrame, position: str, count: int) -> DataFrame:
     return rows.select((F.size("all") > count).alias("has_more"), F.slice("all", 1, count).alias("events")) if count else rows.select((F.size("all") > 0).alias("has_more"), F.slice("all", 1, 0).alias("events"))
 
 
-def stream_versions(log: DataFrame) -> DataFrame:
+def stream_versions(log: DataFrame, buckets: int = ids.BUCKETS) -> DataFrame:
     """Current version and partition key of every stream; a stream is one per bucket."""
-    return log.groupBy(ids.bucket_id("partition_id").alias("bucket_id"), "stream_id").agg(
+    return log.groupBy(ids.bucket_id("partition_id", buckets).alias("bucket_id"), "stream_id").agg(
         F.max("stream_version").alias("stream_version"), F.max_by("partition_key", "stream_version").alias("partition_key")
     )
 
 
-def stream_version(log: DataFrame, stream_id: str, partition: int | None = None) -> DataFrame:
+def stream_version(log: DataFrame, stream_id: str, partition: int | None = None, buckets: int = ids.BUCKETS) -> DataFrame:
     """One row with the current version; null for a stream without events."""
-    return stream_of(log, stream_id, partition).agg(F.max("stream_version").alias("stream_version"))
+    return stream_of(log, stream_id, partition, buckets).agg(F.max("stream_version").alias("stream_version"))
 
 
 def partition_sequences(log: DataFrame) -> DataFrame:
@@ -156,8 +183,3 @@ def out_of_sequence(log: DataFrame, block: int = BLOCK) -> DataFrame:
     w = Window.partitionBy("partition_id", "block").orderBy("partition_sequence")
     prev = F.coalesce(F.lag("partition_sequence").over(w), F.col("prev_top"), F.lit(-1))
     return e.join(before, ["partition_id", "block"]).select("partition_id", "partition_sequence", (F.col("partition_sequence") - prev - 1).alias("missing")).where("missing <> 0")
-
-
-def subscription_records(log: DataFrame, matcher: Column, start: Column) -> DataFrame:
-    """What a subscription gets of the log: rows that match, at or after the start of their key (null: live only)."""
-    return log.where(matcher & start.isNotNull() & (F.col("partition_sequence") >= start))

@@ -137,6 +137,29 @@ def missing_ranges(sequences: DataFrame, key: str, sequence: str) -> DataFrame:
     return s.join(before, ["_k", "_b"]).withColumn("_prev", prev).where("_s - _prev > 1").select(F.col("_k").alias(key), (F.col("_prev") + 1).alias("from_sequence"), (F.col("_s") - 1).alias("to_sequence"))
 
 
+def sync_range(log: DataFrame, commits: DataFrame, marks: DataFrame, first: int, last: int) -> DataFrame:
+    """What a replica that lags is sent of the range from ``first`` to ``last`` of each partition.
+
+    Only events of whole commits under the watermark; a commit that reaches
+    over the end of the range is sent as a whole, one that began before it only
+    from ``first`` on.
+    """
+    from loomlog.functions import ids
+    from loomlog.operators.reads import below_watermark, committed
+
+    done = committed(below_watermark(log, marks), commits).where(F.col("partition_sequence") >= first)
+    single = ids.single_event("transaction_id")
+    inside = done.where(F.col("partition_sequence") <= last)
+    begun = inside.where(~single).select(F.col("partition_id").alias("_p"), F.col("transaction_id").alias("_t")).distinct()
+    rest = done.where(~single & (F.col("partition_sequence") > last)).join(begun, (F.col("partition_id") == F.col("_p")) & (F.col("transaction_id") == F.col("_t")), "left_semi")
+    return inside.unionByName(rest)
+
+
+def confirmation_retries(tries: int = 5, first_ms: int = 100, most_ms: int = 5000) -> list[int]:
+    """The pauses between the tries to confirm a write: doubled each time, up to a limit."""
+    return [min(first_ms << i, most_ms) for i in range(tries - 1)]
+
+
 def replica_sets(partitions: DataFrame, nodes: int, rf: int, buckets: int) -> DataFrame:
     """(partition_id, replica_no, node): the node of its bucket, then its followers in the ring."""
     first = (F.col("partition_id") % buckets) % nodes
@@ -160,8 +183,16 @@ def bucket_ranges(nodes: int, buckets: int) -> list[tuple[int, int, int]]:
 
 
 def memberships(heartbeats: DataFrame, timeout_ms: int) -> DataFrame:
-    """Spells of life per node: (node, alive_since, last_seen), a new one after silence longer than the timeout."""
-    w = Window.partitionBy("node").orderBy("at_ms")
-    new = F.coalesce((F.col("at_ms") - F.lag("at_ms").over(w) > timeout_ms).cast("int"), F.lit(1))
-    spells = heartbeats.where("node is not null and at_ms is not null").withColumn("_new", new).withColumn("_spell", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return spells.groupBy("node", "_spell").agg(F.min("at_ms").alias("alive_since"), F.max("at_ms").alias("last_seen")).drop("_spell")
+    """Spells of life per node: (node, alive_since, last_seen), a new one after silence longer than the timeout.
+
+    Heartbeats less than the timeout apart are of one spell, so they are first
+    reduced to one row per stretch of that length, with map-side combining; what
+    meets in a window over a node depends on its time of life, not on how often
+    it was heard.
+    """
+    known = heartbeats.where("node is not null and at_ms is not null").withColumn("_cell", F.floor(F.col("at_ms") / F.lit(max(timeout_ms, 1))))
+    cells = known.groupBy("node", "_cell").agg(F.min("at_ms").alias("first"), F.max("at_ms").alias("last"))
+    w = Window.partitionBy("node").orderBy("_cell")
+    new = F.coalesce((F.col("first") - F.lag("last").over(w) > timeout_ms).cast("int"), F.lit(1))
+    spells = cells.withColumn("_new", new).withColumn("_spell", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return spells.groupBy("node", "_spell").agg(F.min("first").alias("alive_since"), F.max("last").alias("last_seen")).drop("_spell")

@@ -7,15 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlog.config import LogConfig
+from loomlog.engine import Engine
 from loomlog.functions import ids, versions
 from loomlog.operators import append, confirm, reads, replicate
 from loomlog.plans.commands import Subscribe
 from loomlog.queries.general import table
+from loomlog.scratch import new_folder, stage
 from loomlog.sources import log as store
+from loomlog.sources.stored import StoredLog
 from loomlog.streaming.subscriptions import records
 
 # The stream, partition and event that the point queries ask for.
-STREAM = "user-1"
+STREAM = "meter-feeder-280"
 PARTITION = 25
 RF, QUORUM = 3, 2
 
@@ -133,17 +137,49 @@ def validate_watermarks(spark, sf):
     return confirm.validate(log, log.groupBy("partition_id").agg(F.max("partition_sequence").alias("confirmed_watermark")), QUORUM)
 
 
+def _scan(spark, sf, *bounds, **how) -> DataFrame:
+    """A stream of the log: the filter is in the scan, exported copies are dropped among the few rows that pass it."""
+    rows = reads.stream_of(_log(spark, sf), STREAM, PARTITION)
+    return reads.scan_stream(store.once(rows), STREAM, *bounds, **how)
+
+
 def escan(spark, sf):
-    return _shown(reads.scan_stream(_derived(spark, sf), STREAM, count=100))
+    return _shown(_scan(spark, sf, count=100))
 
 
 def escan_range(spark, sf):
-    return _shown(reads.scan_stream(_derived(spark, sf), STREAM, 5, 25, count=100))
+    return _shown(_scan(spark, sf, 5, 25, count=100))
+
+
+def escan_partition_key(spark, sf):
+    """A stream under the key of another one in its bucket; a key of another bucket finds nothing."""
+    at = reads.scan_stream(store.once(reads.stream_of(_log(spark, sf), STREAM, PARTITION + ids.BUCKETS)), STREAM, 0, 3, PARTITION + ids.BUCKETS)
+    other = reads.scan_stream(store.once(reads.stream_of(_log(spark, sf), STREAM, PARTITION + 1)), STREAM, 0, 3, PARTITION + 1)
+    return _shown(at.unionByName(other))
 
 
 def escan_count_has_more(spark, sf):
-    scan = reads.scan_stream(_derived(spark, sf), STREAM, 3, 60, count=11)
-    p = reads.page(scan, "stream_version", 10)
+    p = reads.page(_scan(spark, sf, 3, 60, count=11), "stream_version", 10)
+    return p.select("has_more", F.size("events").cast("bigint").alias("n"), F.array_join(F.col("events.event_id"), ",").alias("event_ids"))
+
+
+def stream_forward(spark, sf):
+    """All of a stream that is visible, from a version on."""
+    log = _log(spark, sf)
+    marks = confirm.watermarks(log.where(F.col("partition_id") == PARTITION), QUORUM)
+    rows = reads.stream_of(log, STREAM, PARTITION).where((F.col("partition_id") == PARTITION) & (F.col("stream_version") >= 10))
+    return reads.visible_among(rows, log.where(F.col("partition_id") == PARTITION), _commits(spark, sf), marks).select(*_KEY)
+
+
+def filter_commit(spark, sf):
+    """Each committed transaction that a stream takes part in, without its events of other streams."""
+    return reads.filter_commit(reads.committed(store.once(_log(spark, sf)), _commits(spark, sf)), STREAM)
+
+
+def epscan_has_more(spark, sf):
+    """A page of a partition whose range ends before the confirmed events do."""
+    engine = Engine(_log(spark, sf), _commits(spark, sf), LogConfig(nodes=3, cluster=True, replication_factor=RF))
+    p = engine.execute(f"EPSCAN {PARTITION} 3 12 COUNT 20")
     return p.select("has_more", F.size("events").cast("bigint").alias("n"), F.array_join(F.col("events.event_id"), ",").alias("event_ids"))
 
 
@@ -159,14 +195,17 @@ def epscan_visible(spark, sf):
     return _shown(reads.scan_partition(reads.visible(_log(spark, sf), _commits(spark, sf), QUORUM), PARTITION, count=100))
 
 
+def _some_id(spark, sf, where="true") -> str:
+    """The smallest event id that a condition leaves, to ask for; zeros in an empty log."""
+    return _log(spark, sf).where(where).agg(F.min("event_id")).first()[0] or "0" * 32
+
+
 def eget(spark, sf):
-    d = _derived(spark, sf)
-    wanted = d.where("event_no = 77").select("event_id").first()
-    return _shown(reads.get_event(d, wanted[0] if wanted else "0" * 32))
+    return _shown(store.once(reads.get_event(_log(spark, sf), _some_id(spark, sf, "partition_id is not null"))))
 
 
 def eget_missing(spark, sf):
-    return _shown(reads.get_event(store.once(_log(spark, sf)), "00000000-0000-7000-8000-000000000000"))
+    return _shown(store.once(reads.get_event(_log(spark, sf), "00000000-0000-7000-8000-000000000000")))
 
 
 def esver(spark, sf):
@@ -182,17 +221,18 @@ def partition_sequences(spark, sf):
 
 
 def stream_reverse(spark, sf):
-    return reads.scan_stream(_derived(spark, sf), STREAM, 40, reverse=True, count=None).select(*_KEY)
+    return _scan(spark, sf, 40, reverse=True, count=None).select(*_KEY)
 
 
 def partition_reverse(spark, sf):
-    return reads.scan_partition(store.once(_log(spark, sf)), PARTITION, 1 << 63, reverse=True, count=50).select(*_KEY)
+    return reads.scan_partition(store.once(_log(spark, sf).where(F.col("partition_id") == PARTITION)), PARTITION, 1 << 63, reverse=True, count=50).select(*_KEY)
 
 
 def read_transaction_tail(spark, sf):
-    d = _derived(spark, sf)
-    wanted = d.where("event_no = 77").select("event_id").first()
-    return reads.read_transaction(d, wanted[0] if wanted else "0" * 32).select(*_KEY)
+    """The rest of a transaction of several events, from its second one on."""
+    log = _log(spark, sf).where("partition_id is not null")
+    wanted = log.where(~ids.single_event("transaction_id")).agg(F.min_by("event_id", F.struct(-F.col("partition_sequence") % 2, "event_id"))).first()[0] or "0" * 32
+    return store.once(reads.read_transaction(log, wanted)).select(*_KEY)
 
 
 def stream_index_summary(spark, sf):
@@ -239,13 +279,106 @@ def strict_mode(spark, sf):
     return append.append(_requests(spark, sf), strict=True).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def emappend_atomic(spark, sf):
+def _atomic_requests(spark, sf) -> DataFrame:
     """Three events a transaction, all of one stream's partition."""
     e = _derived(spark, sf)
     kind = F.when(F.col("event_no") % 7 < 5, "any").when(F.col("event_no") % 7 == 5, "exists").otherwise((F.col("event_no") % 2).cast("string"))
     tx = (F.col("partition_id").cast("bigint") * (1 << 40) + F.floor(F.col("partition_sequence") / 3)).cast("bigint")
-    r = e.select(F.col("event_no").alias("request_no"), tx.alias("tx_no"), "partition_key", "stream_id", "event_name", kind.alias("expected_version"))
-    return append.append(r, atomic=True).select("request_no", "tx_no", "stream_id", "status", "stream_version", "partition_id", "partition_sequence")
+    return e.select(F.col("event_no").alias("request_no"), tx.alias("tx_no"), "partition_key", "stream_id", "event_name", kind.alias("expected_version"))
+
+
+def emappend_atomic(spark, sf):
+    return append.append(_atomic_requests(spark, sf), atomic=True).select("request_no", "tx_no", "stream_id", "status", "stream_version", "partition_id", "partition_sequence")
+
+
+def append_onto_log(spark, sf):
+    """The log stored, the requests of the plain events and a request for each of its streams appended to it: what is new there.
+
+    A request for a stream of the log expects the version that it has, is or
+    exists; half of them lose against it.
+    """
+    stored = StoredLog(spark, new_folder(spark, "log"), LogConfig(strict_versioning=False))
+    stored.load(store.once(_log(spark, sf)), _commits(spark, sf))
+    heads = stage(stored.heads(), "heads")
+    last = heads.agg(F.max("bucket_id")).first()[0] or 0
+    no = F.lit(1 << 40) + F.pmod(F.xxhash64("bucket_id", "stream_id"), F.lit(1 << 60))
+    second = F.when(F.col("bucket_id") % 2 == 0, F.col("stream_version").cast("string")).otherwise("empty")
+    own = heads.select(no.alias("request_no"), "stream_id", F.lit("again").alias("event_name"), second.alias("expected_version"), "partition_key")
+    fresh = _requests(spark, sf).select("request_no", "stream_id", "event_name", "expected_version", F.lit(None).cast("string").alias("partition_key"))
+    stored.append(fresh.unionByName(own), now_ms=1_900_000_000_000)
+    assert last < stored.config.buckets
+    old = store.once(_log(spark, sf)).select("partition_id", "partition_sequence")
+    return stored.events().join(old, ["partition_id", "partition_sequence"], "left_anti").select("partition_id", "stream_id", "event_name", "stream_version", F.expr("timestamp_ns div 1000000").alias("timestamp"), "confirmation_count")
+
+
+def append_tops(spark, sf):
+    """Events and next sequence of each partition after the same appends: no number is skipped or used twice."""
+    stored = StoredLog(spark, new_folder(spark, "log"), LogConfig(strict_versioning=False))
+    stored.load(store.once(_log(spark, sf)), _commits(spark, sf))
+    stored.append(_requests(spark, sf), now_ms=1_900_000_000_000)
+    n = stored.events().groupBy("partition_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("partition_sequence").alias("n_sequences"))
+    return n.join(stored.tops(), "partition_id").select("partition_id", "n", "n_sequences", "next_sequence")
+
+
+def set_confirmations(spark, sf):
+    """Watermarks of the stored log after a quorum has confirmed the event that held each partition up."""
+    stored = StoredLog(spark, new_folder(spark, "log"), LogConfig())
+    stored.load(store.once(_log(spark, sf)), _commits(spark, sf))
+    held = confirm.unconfirmed(stored.events(), confirm.watermarks(stored.events(), QUORUM), QUORUM)
+    first = held.groupBy("partition_id").agg(F.min("partition_sequence").alias("partition_sequence"), F.min_by("transaction_id", "partition_sequence").alias("transaction_id"))
+    stored.set_confirmations(first.withColumn("confirmation_count", F.lit(QUORUM)))
+    return confirm.watermarks(stored.events(), QUORUM)
+
+
+def stuck_events(spark, sf):
+    """Events without a quorum that are older than an hour at the partition's newest time, tried once for each event after them."""
+    log = store.once(_log(spark, sf))
+    marks = confirm.watermarks(log, QUORUM)
+    held = confirm.unconfirmed(log, marks, QUORUM)
+    newest = log.groupBy("partition_id").agg(F.max("timestamp_ns").alias("now_ns"), F.max("partition_sequence").alias("top"))
+    pending = held.join(newest, "partition_id").select("partition_id", "partition_sequence", "event_id", F.col("timestamp_ns").alias("first_seen_ns"), (F.col("top") - F.col("partition_sequence")).alias("attempts"), "now_ns")
+    return confirm.stuck(pending, "now_ns", 3, 3_600_000_000_000).select("partition_id", "partition_sequence", "event_id", "attempts")
+
+
+def watermark_gap_block(spark, sf):
+    """Watermarks of a log in which the event at sequence 20 of every partition never arrived."""
+    return confirm.watermarks(_log(spark, sf).where("partition_sequence <> 20"), QUORUM)
+
+
+def watermark_reopen(spark, sf):
+    """Watermarks saved over the first 15 sequences of each partition, then moved on by what was stored since."""
+    log = _log(spark, sf)
+    saved = confirm.Snapshots(spark, new_folder(spark, "marks"))
+    saved.save(confirm.watermarks(log.where("partition_sequence < 15"), QUORUM))
+    return saved.reopen(log, QUORUM)
+
+
+def sync_range(spark, sf):
+    """What a replica that lacks sequences 10 to 60 is sent of each partition: confirmed commits, whole ones only."""
+    return replicate.sync_range(store.once(_log(spark, sf)), _commits(spark, sf), confirm.watermarks(_log(spark, sf), QUORUM), 10, 60).select(*_KEY)
+
+
+def accept_rules(spark, sf):
+    """What a replica would answer to each event as a write that came over with its confirmations as its age."""
+    e = store.once(_log(spark, sf))
+    expected = F.when(F.col("partition_sequence") == 0, "empty").when(F.col("confirmation_count").isNull(), "any").otherwise((F.col("partition_sequence") - 1).cast("string"))
+    w = e.select("partition_id", "partition_sequence", expected.alias("expected_sequence"), (F.col("confirmation_count") > 1).alias("sender_known"), (F.col("stream_version") * 1000).alias("age_ms"), F.lit(30_000).alias("timeout_ms"), (F.col("partition_id") % 3 < 2).alias("owned"))
+    return replicate.accept_rules(w).select("partition_id", "partition_sequence", "status")
+
+
+def memberships(spark, sf):
+    """Partitions as nodes, their events as heartbeats: spells of life with at most an hour of silence."""
+    beats = store.once(_log(spark, sf)).select(F.concat(F.lit("node-"), F.col("partition_id")).alias("node"), F.expr("timestamp_ns div 1000000").alias("at_ms"))
+    return replicate.memberships(beats, 3_600_000)
+
+
+def replica_confirm(spark, sf):
+    """Claims of a replica against the log: every fourth sequence under a wrong id, and one past the end of each partition."""
+    log = store.once(_log(spark, sf))
+    wrong = F.when(F.col("partition_sequence") % 4 == 3, F.lit("00000000-0000-7000-8000-000000000000")).otherwise(F.col("event_id"))
+    past = log.groupBy("partition_id").agg((F.max("partition_sequence") + 1).alias("partition_sequence")).select("partition_id", "partition_sequence", F.lit("none").alias("event_id"), F.lit(1).alias("confirmation_count"))
+    claims = log.select("partition_id", "partition_sequence", wrong.alias("event_id"), "confirmation_count").unionByName(past)
+    return confirm.confirm(log, claims).groupBy("partition_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _subscribed(spark, sf, r: Subscribe) -> DataFrame:
@@ -346,7 +479,8 @@ QUERIES = {f.__name__: f for f in (
     escan_count_has_more, epscan, epscan_range, epscan_visible, eget, eget_missing, esver, epseq, partition_sequences, stream_reverse, partition_reverse, read_transaction_tail,
     stream_index_summary, partition_index_summary, validate_sequences, version_gap, append_fold, append_any_versions, strict_mode, emappend_atomic, sub_all_from_map_default,
     sub_partitions_from, sub_streams_from_map, sub_window_first_page, sub_window_after_ack, subscription_progress, replica_gaps, replica_sets, coordinators, distribute_partition, write_quorums,
-    stream_replay, sequence_gap,
+    stream_replay, sequence_gap, escan_partition_key, stream_forward, filter_commit, epscan_has_more, append_onto_log, append_tops, set_confirmations, stuck_events, watermark_gap_block,
+    watermark_reopen, sync_range, accept_rules, memberships, replica_confirm,
 )}
 
 # ---- SQL ----
@@ -422,6 +556,7 @@ def _sub(where: str, source: str = "once") -> str:
     return f"SELECT row_number() OVER (ORDER BY partition_id, partition_sequence) - 1 AS cursor, {_KEYS} FROM {source} WHERE {where}"
 
 
+_OWN = f"stream_id = '{STREAM}' AND partition_id % 4 = {PARTITION % 4}"
 ORACLES = {
     "partition_hash": f"WITH {_ONCE} SELECT partition_id, partition_sequence, {_hash('partition_key')} AS key_hash, {_hash('event_id')} AS event_hash FROM once",
     "route": f"WITH s AS (SELECT DISTINCT stream_id FROM event_log), k AS (SELECT stream_id, {_default_key('stream_id')} AS partition_key FROM s) SELECT stream_id, partition_key, CAST({_hash('partition_key')} % 32 AS INT) AS partition_id, CAST({_hash('partition_key')} % 32 % 4 AS INT) AS bucket_id FROM k",
@@ -447,20 +582,20 @@ FROM (SELECT n2.*, m.confirmed_watermark > m.highest_version - 1 AS num_ok FROM
     "unconfirmed_events": _ML + f"SELECT partition_id, partition_sequence, event_id FROM once JOIN marks USING (partition_id) WHERE partition_sequence >= confirmed_watermark AND coalesce(confirmation_count, 0) < {QUORUM}",
     "confirmation_stats": _ML + "SELECT count(DISTINCT partition_id % 4) AS buckets, count(*) AS partitions, CAST(sum(confirmed_watermark) AS BIGINT) AS confirmed, CAST(sum(highest_version - confirmed_watermark) AS BIGINT) AS unconfirmed, max(highest_version - confirmed_watermark) AS max_gap FROM marks",
     "validate_watermarks": _ML + "SELECT partition_id, highest_version - 1 AS stated, confirmed_watermark AS actual, CASE WHEN highest_version - 1 > confirmed_watermark THEN 'too high' WHEN highest_version - 1 < confirmed_watermark THEN 'behind' ELSE 'ok' END AS verdict FROM marks",
-    "escan": _D + f"SELECT {_WIRE_D} FROM log WHERE stream_id = '{STREAM}' ORDER BY stream_version LIMIT 100",
-    "escan_range": _D + f"SELECT {_WIRE_D} FROM log WHERE stream_id = '{STREAM}' AND stream_version BETWEEN 5 AND 25",
-    "escan_count_has_more": _D + f", s AS (SELECT * FROM log WHERE stream_id = '{STREAM}' AND stream_version BETWEEN 3 AND 60 ORDER BY stream_version LIMIT 11), p AS (SELECT * FROM s ORDER BY stream_version LIMIT 10) SELECT (SELECT count(*) FROM s) > 10 AS has_more, count(*) AS n, coalesce(string_agg(event_id, ',' ORDER BY stream_version), '') AS event_ids FROM p",
+    "escan": f"WITH {_ONCE} SELECT {_WIRE_L} FROM once WHERE {_OWN} ORDER BY stream_version LIMIT 100",
+    "escan_range": f"WITH {_ONCE} SELECT {_WIRE_L} FROM once WHERE {_OWN} AND stream_version BETWEEN 5 AND 25",
+    "escan_count_has_more": f"WITH {_ONCE}, s AS (SELECT * FROM once WHERE {_OWN} AND stream_version BETWEEN 3 AND 60 ORDER BY stream_version LIMIT 11), p AS (SELECT * FROM s ORDER BY stream_version LIMIT 10) SELECT (SELECT count(*) FROM s) > 10 AS has_more, count(*) AS n, coalesce(string_agg(event_id, ',' ORDER BY stream_version), '') AS event_ids FROM p",
     "epscan": f"WITH {_ONCE} SELECT {_WIRE_L} FROM once WHERE partition_id = {PARTITION} ORDER BY partition_sequence LIMIT 100",
     "epscan_range": f"WITH {_ONCE} SELECT {_WIRE_L} FROM once WHERE partition_id = {PARTITION} AND partition_sequence BETWEEN 50 AND 150",
     "epscan_visible": f"WITH {_VISIBLE} SELECT {_WIRE_L} FROM seen WHERE partition_id = {PARTITION} ORDER BY partition_sequence LIMIT 100",
-    "eget": _D + f"SELECT {_WIRE_D} FROM log WHERE event_no = 77",
+    "eget": f"WITH {_ONCE} SELECT {_WIRE_L} FROM once WHERE event_id = (SELECT min(event_id) FROM event_log WHERE partition_id IS NOT NULL)",
     "eget_missing": f"WITH {_ONCE} SELECT {_WIRE_L} FROM once WHERE false",
     "esver": f"WITH {_VISIBLE} SELECT CAST(partition_id % 4 AS INT) AS bucket_id, stream_id, max(stream_version) AS stream_version FROM seen GROUP BY ALL",
     "epseq": _ML + "SELECT partition_id, CASE WHEN confirmed_watermark > 0 THEN confirmed_watermark - 1 END AS partition_sequence FROM marks",
     "partition_sequences": "SELECT partition_id, max(partition_sequence) AS partition_sequence FROM event_log GROUP BY ALL",
-    "stream_reverse": _D + f"SELECT {_KEYS} FROM log WHERE stream_id = '{STREAM}' AND stream_version <= 40",
+    "stream_reverse": f"WITH {_ONCE} SELECT {_KEYS} FROM once WHERE {_OWN} AND stream_version <= 40",
     "partition_reverse": f"WITH {_ONCE} SELECT {_KEYS} FROM once WHERE partition_id = {PARTITION} ORDER BY partition_sequence DESC LIMIT 50",
-    "read_transaction_tail": _D + ", w AS (SELECT * FROM log WHERE event_no = 77) SELECT l.partition_id, l.partition_sequence, l.stream_version, l.event_id, l.stream_id, l.event_name FROM log l JOIN w ON l.partition_id = w.partition_id AND l.transaction_id = w.transaction_id AND l.partition_sequence >= w.partition_sequence",
+    "read_transaction_tail": f"WITH {_ONCE}, w AS (SELECT * FROM once WHERE NOT ({_SINGLE}) ORDER BY -(partition_sequence % 2), event_id LIMIT 1) SELECT l.partition_id, l.partition_sequence, l.stream_version, l.event_id, l.stream_id, l.event_name FROM once l JOIN w ON l.partition_id = w.partition_id AND l.transaction_id = w.transaction_id AND l.partition_sequence >= w.partition_sequence",
     "stream_index_summary": f"WITH {_ONCE} SELECT CAST(partition_id % 4 AS INT) AS bucket_id, stream_id, min(partition_key) AS partition_key, min(stream_version) AS min_version, max(stream_version) AS max_version, count(*) AS n FROM once GROUP BY ALL",
     "partition_index_summary": f"WITH {_ONCE} SELECT partition_id, min(partition_sequence) AS min_sequence, max(partition_sequence) AS max_sequence, count(*) AS n FROM once GROUP BY ALL",
     "validate_sequences": f"WITH {_ONCE}, l AS (SELECT partition_id, partition_sequence, partition_sequence - coalesce(lag(partition_sequence) OVER (PARTITION BY partition_id ORDER BY partition_sequence), -1) - 1 AS missing FROM once WHERE confirmation_count >= {QUORUM}) SELECT * FROM l WHERE missing <> 0",
@@ -489,4 +624,34 @@ SELECT s.subscription_id, acked, sent, window_size, greatest(0, coalesce(acked,
 SELECT partition_id, arg_min(node, (since, node)) AS coordinator, count(*) AS live FROM l GROUP BY ALL""",
     "distribute_partition": f"WITH k AS (SELECT DISTINCT partition_key, {_hash('partition_key')} % 32 AS p FROM event_log) SELECT partition_key, CAST(p AS INT) AS first, CAST((p + 17) % 32 AS INT) AS second, CAST((p + 34) % 32 AS INT) AS third FROM k",
     "write_quorums": f"WITH {_ONCE} SELECT partition_id || '/' || partition_sequence AS write_id, CAST(confirmation_count AS BIGINT) AS copies, confirmation_count >= 2 AS quorum FROM once WHERE confirmation_count > 1",
+    "escan_partition_key": f"WITH {_ONCE} SELECT {_WIRE_L} FROM once WHERE stream_id = '{STREAM}' AND partition_id % 4 IN ({PARTITION % 4}, {(PARTITION + 1) % 4}) AND stream_version BETWEEN 0 AND 3",
+    "stream_forward": f"WITH {_VISIBLE} SELECT {_KEYS} FROM seen WHERE stream_id = '{STREAM}' AND partition_id = {PARTITION} AND stream_version >= 10",
+    "filter_commit": f"WITH {_COMMITTED} SELECT partition_id, transaction_id, count(*) AS n, min(stream_version) AS first_version, max(stream_version) AS last_version FROM done WHERE stream_id = '{STREAM}' GROUP BY ALL",
+    "epscan_has_more": f"""WITH {_VISIBLE}, p AS (SELECT * FROM seen WHERE partition_id = {PARTITION} AND partition_sequence BETWEEN 3 AND 12)
+SELECT coalesce((SELECT confirmed_watermark - 1 FROM marks WHERE partition_id = {PARTITION}), -1) > coalesce(max(partition_sequence), 2) AS has_more, count(*) AS n, coalesce(string_agg(event_id, ',' ORDER BY partition_sequence), '') AS event_ids FROM p""",
+    "append_onto_log": f"""{_fold(False)},
+{_ONCE}, heads AS (SELECT CAST(partition_id % 4 AS INT) AS bucket_id, stream_id, max(stream_version) AS v, arg_max(partition_key, stream_version) AS partition_key FROM once GROUP BY ALL)
+SELECT partition_id, j.stream_id, r.event_name, stream_version, 1900000000000 AS timestamp, CAST(1 AS INT) AS confirmation_count FROM j JOIN (SELECT event_id AS request_no, event_type AS event_name FROM events) r USING (request_no) WHERE ok
+UNION ALL SELECT CAST({_hash('partition_key')} % 32 AS INT), stream_id, 'again', v + 1, 1900000000000, 1 FROM heads WHERE bucket_id % 2 = 0""",
+    "append_tops": f"""{_fold(False)}, {_ONCE}, b AS (SELECT partition_id, count(*) AS n FROM once GROUP BY ALL), a AS (SELECT partition_id, count(*) AS n FROM j WHERE ok GROUP BY ALL)
+SELECT coalesce(a.partition_id, b.partition_id) AS partition_id, coalesce(a.n, 0) + coalesce(b.n, 0) AS n, coalesce(a.n, 0) + coalesce(b.n, 0) AS n_sequences, coalesce(a.n, 0) + coalesce(b.n, 0) AS next_sequence FROM a FULL JOIN b ON a.partition_id = b.partition_id""",
+    "set_confirmations": f"""WITH {_ONCE}, {_MARKS},
+f AS (SELECT partition_id, min(partition_sequence) AS s FROM once JOIN marks USING (partition_id) WHERE partition_sequence >= confirmed_watermark AND coalesce(confirmation_count, 0) < {QUORUM} GROUP BY ALL),
+n2 AS (SELECT num.*, CASE WHEN partition_sequence = f.s THEN {QUORUM} ELSE c END AS c2 FROM num LEFT JOIN f USING (partition_id))
+SELECT partition_id, coalesce(min(rn) FILTER (rn <> partition_sequence OR c2 < {QUORUM}), max(rn) + 1) AS confirmed_watermark, max(partition_sequence) + 1 AS highest_version FROM n2 GROUP BY ALL""",
+    "stuck_events": _ML + f""", t AS (SELECT partition_id, max(timestamp_ns) AS now_ns, max(partition_sequence) AS top FROM once GROUP BY ALL)
+SELECT partition_id, partition_sequence, event_id, top - partition_sequence AS attempts FROM once JOIN marks USING (partition_id) JOIN t USING (partition_id)
+WHERE partition_sequence >= confirmed_watermark AND coalesce(confirmation_count, 0) < {QUORUM} AND top - partition_sequence >= 3 AND now_ns - timestamp_ns >= 3600000000000""",
+    "watermark_gap_block": f"""WITH {_ONCE}, num AS (SELECT partition_id, partition_sequence, coalesce(confirmation_count, 0) AS c, row_number() OVER (PARTITION BY partition_id ORDER BY partition_sequence) - 1 AS rn FROM once WHERE partition_sequence <> 20)
+SELECT partition_id, coalesce(min(rn) FILTER (rn <> partition_sequence OR c < {QUORUM}), max(rn) + 1) AS confirmed_watermark, max(partition_sequence) + 1 AS highest_version FROM num GROUP BY ALL""",
+    "watermark_reopen": _ML + "SELECT partition_id, confirmed_watermark, highest_version FROM marks",
+    "sync_range": f"""WITH {_VISIBLE}, o AS (SELECT * FROM seen WHERE partition_sequence >= 10), i AS (SELECT * FROM o WHERE partition_sequence <= 60)
+SELECT {_KEYS} FROM o WHERE partition_sequence <= 60 OR (NOT ({_SINGLE}) AND (partition_id, transaction_id) IN (SELECT (partition_id, transaction_id) FROM i WHERE NOT ({_SINGLE})))""",
+    "accept_rules": f"""WITH {_ONCE} SELECT partition_id, partition_sequence, CASE WHEN partition_sequence > 0 AND confirmation_count IS NULL THEN 'MISSINGPARTSEQ' WHEN NOT (coalesce(confirmation_count, 0) > 1) THEN 'INVALIDSENDER' WHEN stream_version * 1000 > 30000 THEN 'STALEWRITE'
+  WHEN partition_id % 3 = 2 THEN 'PARTNOTOWNED' ELSE 'OK' END AS status FROM once""",
+    "memberships": f"""WITH {_ONCE}, b AS (SELECT 'node-' || partition_id AS node, timestamp_ns // 1000000 AS at_ms FROM once WHERE timestamp_ns IS NOT NULL),
+f AS (SELECT *, CASE WHEN at_ms - lag(at_ms) OVER w <= 3600000 THEN 0 ELSE 1 END AS fresh FROM b WINDOW w AS (PARTITION BY node ORDER BY at_ms)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY node ORDER BY at_ms ROWS UNBOUNDED PRECEDING) AS spell FROM f)
+SELECT node, min(at_ms) AS alive_since, max(at_ms) AS last_seen FROM s GROUP BY node, spell""",
+    "replica_confirm": f"""WITH {_ONCE}, c AS (SELECT partition_id, CASE WHEN partition_sequence % 4 = 3 THEN 'other event' ELSE 'ok' END AS status FROM once UNION ALL SELECT DISTINCT partition_id, 'missing' FROM once)
+SELECT partition_id, status, count(*) AS n FROM c GROUP BY ALL""",
 }

@@ -10,17 +10,19 @@ from loomlog.operators import append, confirm
 from test_engine import B, COMMIT, make
 
 
-def test_client(spark):
+def test_client(spark, tmp_path):
     df, rows = make(spark, n=10)
-    client = Client(Engine(df, spark.createDataFrame([], COMMIT), LogConfig()))
+    engine = Engine.open(spark, str(tmp_path / "log"), LogConfig())
+    engine.store.load(df, spark.createDataFrame([], COMMIT))
+    client = Client(Engine.open(spark, str(tmp_path / "log"), LogConfig()))
     key, p = rows[0][1], rows[0][2]
     assert client.escan("a", count=2).first().has_more
     assert client.escan_with_partition_key("a", key).first().events[4].stream_version == 4
     assert client.esver("a").first()[0] == client.esver_with_partition_key("a", key).first()[0] == 4
     assert client.epseq_by_id(p).first().partition_sequence == client.epseq_by_key(key).first().partition_sequence == 4
     assert client.eappend("a", "N", expected_version=4, payload=b"x").first().stream_version == 5
-    got = client.emappend(key, [("a", "N", {"expected_version": 4}), ("new", "M", {"expected_version": "empty"})]).collect()
-    assert [(r.stream_id, r.stream_version, r.partition_sequence) for r in got] == [("a", 5, 5), ("new", 0, 6)]
+    got = client.emappend(key, [("a", "N", {"expected_version": 5}), ("new", "M", {"expected_version": "empty"})]).collect()
+    assert [(r.stream_id, r.stream_version, r.partition_sequence, r.first_partition_sequence, r.last_partition_sequence) for r in got] == [("a", 6, 6, 6, 7), ("new", 0, 7, 6, 7)]
     with pytest.raises(EngineError):
         client.emappend(key, [("a", "N", {"expected_version": 4}), ("new", "M", {"expected_version": 3})])
     first = client.esub_from_versions({"a": 1, B: 0}, window=3).collect()
@@ -32,7 +34,7 @@ def test_client(spark):
     with pytest.raises(EngineError) as e:
         client.eack(s, 2)
     assert e.value.code == "NOTFOUND"
-    assert client.epsub_from_sequences({p: 3}, default=0).count() == 7
+    assert client.epsub_from_sequences({p: 3}, default=0).count() == 10
     assert client.epsub_all().count() == 0
 
 
