@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from loomlog.queries.general import table
 from loomlog.scratch import new_folder, stage
 from loomlog.sources import log as store
 from loomlog.sources.stored import StoredLog
-from loomlog.streaming.subscriptions import records
+from loomlog.streaming.subscriptions import RECORD, AckTable, SubscriptionSource, options_of, records
 
 # The stream, partition and event that the point queries ask for.
 STREAM = "meter-feeder-280"
@@ -406,19 +404,38 @@ def sub_window_after_ack(spark, sf):
     return records(store.once(_log(spark, sf)), Subscribe("partition", None, 0, None, 10), acked=499).where("cursor > 499").select("cursor", *_KEY)
 
 
-def stream_replay(spark, sf):
-    """The whole log replayed as a stream: each event once, in batches published by number."""
-    from loomlog.scratch import scratch_dir
+def stream_replay(spark, sf, windows: int = 4):
+    """The whole log through the subscription source, a window at a time, each acknowledged when it is stored.
+
+    The query is stopped after the first window and started again.
+    """
+    where = new_folder(spark, "replay")
+    store.write(store.once(_log(spark, sf)), f"{where}/log", ids.PARTITIONS, ids.BUCKETS)
+    spark.dataSource.register(SubscriptionSource)
+    window = max(1, -(-spark.read.parquet(f"{where}/log/events").count() // windows))
+    options = options_of(Subscribe("partition", None, 0, None, window), "replay", f"{where}/log/events", f"{where}/acks")
+    acks = AckTable(options["state"])
 
-    where = f"{scratch_dir(spark)}/loomlog-replay-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(_log(spark, sf).schema).parquet(f"{sf}/event_log.parque[t]").select("partition_id", "partition_sequence", "event_id")
+    stopping = True
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
+        if not (stopping and number):
+            acks.ack("replay", stored_to())
+
+    def stored_to() -> int:
+        return spark.read.schema(RECORD + ", batch int").parquet(f"{where}/out").agg(F.coalesce(F.max("cursor"), F.lit(-1))).first()[0]
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    replayed = spark.read.schema("partition_id int, partition_sequence bigint, event_id string").parquet(f"{where}/out")
-    return store.once(replayed).select("partition_id", "partition_sequence", "event_id")
+    for stopping in (True, False):
+        stream = spark.readStream.format("loomlog_subscription").options(**options).load()
+        q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        if stopping:  # the consumer finds what it has stored and acknowledges it
+            acks.ack("replay", stored_to())
+    return spark.read.schema(RECORD + ", batch int").parquet(f"{where}/out").select("cursor", "partition_id", "partition_sequence", "event_id")
 
 
 def sequence_gap(spark, sf):
@@ -606,7 +623,7 @@ g AS (SELECT *, CASE WHEN expected = 'any' THEN 'none' WHEN expected = 'exists'
 SELECT partition_id, partition_sequence, expected, current, kind, CASE WHEN kind IN ('none', 'incompatible') THEN NULL WHEN expected = 'empty' THEN current + 1 WHEN current IS NULL THEN v + 1 ELSE abs(v - current) END AS n, kind = 'none' AS satisfied,
   expected NOT IN ('any', 'exists') AS strict, CASE WHEN expected = 'empty' THEN 0 ELSE v + 1 END AS next_expected, coalesce(current + 1, 0) AS next_current FROM g""",
     "append_fold": _fold(False) + _NUMBERED,
-    "stream_replay": f"WITH {_ONCE} SELECT partition_id, partition_sequence, event_id FROM once",
+    "stream_replay": f"WITH {_ONCE} SELECT row_number() OVER (ORDER BY partition_id, partition_sequence) - 1 AS cursor, partition_id, partition_sequence, event_id FROM once",
     "sequence_gap": f"""WITH {_ONCE}, e AS (SELECT partition_id, partition_sequence, stream_version AS v, CASE WHEN partition_sequence > 0 THEN partition_sequence - 1 END AS c FROM once)
 SELECT partition_id, partition_sequence, CASE WHEN c IS NULL OR v > c THEN 'behind' WHEN v < c THEN 'ahead' ELSE 'none' END AS kind, CASE WHEN c IS NULL THEN v + 1 WHEN v <> c THEN abs(v - c) END AS n FROM e""",
     "append_any_versions": _D + "SELECT event_no AS request_no, stream_id, 'OK' AS status, stream_version, partition_id, partition_sequence FROM log",

@@ -12,7 +12,7 @@ from loomlog.functions.versions import gap_of
 from loomlog.operators import append, confirm, reads, replicate
 from loomlog.plans import commands as c
 from loomlog.sources import log as store
-from loomlog.streaming.subscriptions import AckTable, SubscriptionSource, start_offsets
+from loomlog.streaming.subscriptions import RECORD, AckTable, SubscriptionSource, options_of, start_offsets
 
 SINGLE = "c3a16874-9c57-4a30-b14e-b341d48e8a68"
 EVENT = "event_id string, partition_key string, partition_id int, transaction_id string, partition_sequence bigint, stream_version bigint, timestamp_ns bigint, confirmation_count int, stream_id string, event_name string, metadata binary, payload binary"
@@ -194,24 +194,56 @@ def test_stored_log(spark, tmp_path):
         store.read(spark, str(tmp_path / "log"), 64)
 
 
-def test_subscription_stream(spark, tmp_path):
-    df, rows = make(spark, n=20)
-    path = str(tmp_path / "log")
-    df.write.parquet(path)
+def follow(spark, tmp_path, r, name="x", path="log"):
+    """Run a subscription's query until nothing more is admitted; all records that it ever delivered."""
     spark.dataSource.register(SubscriptionSource)
-    acks = AckTable(str(tmp_path / "acks"))
-    offsets = start_offsets(confirm.watermarks(df, 2), None, {}, 0)
-    import json
-
-    def run():
-        q = spark.readStream.format("loomlog_subscription").option("path", path).option("start", json.dumps(offsets)).option("window", "6").option("acks", acks.path("x")).load()
-        q = q.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    options = options_of(r, name, str(tmp_path / path), str(tmp_path / "acks"))
+    q = spark.readStream.format("loomlog_subscription").options(**options).load()
+    q = q.writeStream.format("parquet").option("path", str(tmp_path / f"out-{name}")).option("checkpointLocation", str(tmp_path / f"cp-{name}")).start()
+    try:
         q.processAllAvailable()
+    finally:
         q.stop()
-        return spark.read.parquet(str(tmp_path / "out")).collect()
+    return sorted(spark.read.schema(RECORD).parquet(str(tmp_path / f"out-{name}")).collect(), key=lambda x: x.cursor)
+
 
-    assert len(run()) == 6
-    assert acks.ack("x", 5) == 5 and acks.ack("x", 2) == 5 and acks.get("y") is None
+def test_subscription_goes_on_after_a_restart(spark, tmp_path):
+    """Restarts with new data in an earlier partition: no record twice, none lost, never more than the window."""
+    df, rows = make(spark, n=20)
+    early = sorted({r[2] for r in rows})[0]
+    held = df.where(f"partition_id <> {early} or partition_sequence < 3")
+    held.write.parquet(str(tmp_path / "log"))
+    r = c.Subscribe("partition", None, 0, None, 6)
+    acks = AckTable(str(tmp_path / "acks"))
+    got = follow(spark, tmp_path, r)
+    assert [x.cursor for x in got] == list(range(6)) and {x.subscription_id for x in got} == {"x"}
+    df.where(f"partition_id = {early} and partition_sequence >= 3").write.mode("append").parquet(str(tmp_path / "log"))
+    assert len(follow(spark, tmp_path, r)) == 6  # nothing was acknowledged: the window is full
+    for cursor in (3, 9, 15, 19, 25):
+        assert acks.ack("x", cursor) == cursor
+        got = follow(spark, tmp_path, r)
+        assert [x.cursor for x in got] == list(range(min(20, cursor + 7)))
+    assert len({(x.partition_id, x.partition_sequence) for x in got}) == 20
+    for p in {x.partition_id for x in got}:
+        own = [x.partition_sequence for x in got if x.partition_id == p]
+        assert own == list(range(len(own)))
+    assert acks.ack("x", 2) == 25 and acks.get("y") is None
+
+
+def test_live_and_stream_subscriptions(spark, tmp_path):
+    df, rows = make(spark, n=20)
+    df.where("stream_version < 4").write.parquet(str(tmp_path / "log"))
+    live = c.parse("EPSUB * FROM LATEST")
+    stream = c.parse(f"ESUB a {B} FROM MAP a=2")
+    assert follow(spark, tmp_path, live, "live") == []
+    assert [(x.stream_id, x.stream_version) for x in follow(spark, tmp_path, stream, "stream")] == [("a", 2), ("a", 3)]
+    df.where("stream_version >= 4").write.mode("append").parquet(str(tmp_path / "log"))
+    got = follow(spark, tmp_path, live, "live")
+    assert len(got) == 12 and min(x.stream_version for x in got) == 4 and [x.cursor for x in got] == list(range(12))
+    got = follow(spark, tmp_path, stream, "stream")
+    assert sorted(x.stream_version for x in got if x.stream_id == "a") == list(range(2, 10)) and sorted(x.stream_version for x in got if x.stream_id == B) == list(range(4, 10))
+    assert [x.cursor for x in got] == list(range(14))
+    assert start_offsets(confirm.watermarks(df, 2), None, {}, 0) == {p: 0 for p in {r[2] for r in rows}}
 
 
 def test_stateful_append_stream(spark, tmp_path):
