@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from loomlog.engine import Engine
 
@@ -96,3 +97,78 @@ class Client:
 
     def ping(self) -> DataFrame:
         return self._run("PING")
+
+    def manager(self) -> SubscriptionManager:
+        return SubscriptionManager(self)
+
+
+#: Records that a subscription fetches at once.
+PAGE = 1000
+
+
+class Subscription:
+    """An open subscription: its messages in order, acknowledged by cursor. It follows what is appended to the log."""
+
+    def __init__(self, client: Client, subscription_id: str):
+        self.client, self.subscription_id = client, subscription_id
+        self._delivered, self._page = -1, iter(())
+
+    def next_message(self) -> Row | None:
+        """The next record with its cursor; None while nothing more may be sent: all was, or the window is full."""
+        row = next(self._page, None)
+        if row is None:
+            more = self.client.engine.next_records(self.subscription_id).where(F.col("cursor") > self._delivered)
+            self._page = iter(more.orderBy("cursor").limit(PAGE).collect())
+            row = next(self._page, None)
+        if row is not None:
+            self._delivered = row["cursor"]
+        return row
+
+    def __iter__(self) -> Iterator[Row]:
+        """Messages until nothing more may be sent."""
+        return iter(self.next_message, None)
+
+    def acknowledge_up_to_cursor(self, cursor: int) -> int:
+        return self.client.engine.acknowledge(self.subscription_id, cursor)
+
+    def unsubscribe(self) -> None:
+        self.client.engine.unsubscribe(self.subscription_id)
+
+
+class SubscriptionManager:
+    """Opens subscriptions; every method takes a window, the most messages that may be out without an acknowledgement."""
+
+    def __init__(self, client: Client):
+        self.client = client
+
+    def _open(self, *words: object, window: int | None = None) -> Subscription:
+        opened = self.client.engine.open_subscription([str(w) for w in (*words, *_words(window=window))])
+        return Subscription(self.client, opened)
+
+    @staticmethod
+    def _from(start: object, fallback: int | None = None) -> list:
+        """Words of a start: None or "latest", a position, or a position per key."""
+        if start is None or str(start).lower() == "latest":
+            return ["FROM", "LATEST"]
+        if isinstance(start, dict):
+            return ["FROM", "MAP", *[f"{k}={n}" for k, n in start.items()], *(["DEFAULT", fallback] if fallback is not None else [])]
+        return ["FROM", start]
+
+    def subscribe_to_stream(self, stream_id: str, partition_key: str | None = None, from_version: object = None, window: int | None = None) -> Subscription:
+        return self._open("ESUB", stream_id, *_words(partition_key=partition_key), *self._from(from_version), window=window)
+
+    def subscribe_to_streams(self, stream_ids: Iterable[str], from_versions: object = None, window: int | None = None) -> Subscription:
+        return self._open("ESUB", *stream_ids, *self._from(from_versions), window=window)
+
+    def subscribe_to_partition(self, partition: int | str, from_sequence: object = None, window: int | None = None) -> Subscription:
+        """By number or by key."""
+        return self._open("EPSUB", partition, *self._from(from_sequence), window=window)
+
+    def subscribe_to_partitions(self, partitions: Iterable[int], from_sequences: object = None, fallback: int | None = None, window: int | None = None) -> Subscription:
+        return self._open("EPSUB", ",".join(map(str, partitions)), *self._from(from_sequences, fallback), window=window)
+
+    def subscribe_to_partition_range(self, first: int, last: int, from_sequence: object = None, window: int | None = None) -> Subscription:
+        return self._open("EPSUB", f"{first}-{last}", *self._from(from_sequence), window=window)
+
+    def subscribe_to_all_partitions(self, from_sequence: object = None, fallback: int | None = None, window: int | None = None) -> Subscription:
+        return self._open("EPSUB", "*", *self._from(from_sequence, fallback), window=window)

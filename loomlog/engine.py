@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,9 +142,31 @@ class Engine:
 
     def subscribe(self, r: c.Subscribe) -> DataFrame:
         """Open a subscription: what it is sent of the history before its first ack, at most a window."""
+        return self.next_records(self._opened(r))
+
+    def open_subscription(self, command: str | list[str]) -> str:
+        """Open a subscription by its command and return its id only."""
+        r = c.parse(command, self.config.partitions)
+        if not isinstance(r, c.Subscribe):
+            raise EngineError("SYNTAX", "no subscription")
+        return self._opened(r)
+
+    def _opened(self, r: c.Subscribe) -> str:
+        """Note where every key begins: one that is live only begins behind what is visible now."""
+        start = dict(r.start) if isinstance(r.start, dict) else {}
+        if r.kind == "stream":
+            for key, stream in r.keys if not isinstance(r.start, int) else []:
+                if stream not in start:
+                    top = self._stream(stream, key).agg(F.max("stream_version")).first()[0]
+                    start[stream] = 0 if top is None else top + 1
+        elif not isinstance(r.start, int) and r.fallback is None:
+            for p, w in self.marks.select("partition_id", "confirmed_watermark").collect():  # one row a partition
+                if r.keys is None or p in r.keys:
+                    start.setdefault(p, w)
+        fallback = r.fallback if r.fallback is not None else 0
         subscription_id = str(uuid.uuid4())
-        self.subscriptions[subscription_id] = (r, None)
-        return self.next_records(subscription_id)
+        self.subscriptions[subscription_id] = (dataclasses.replace(r, start=r.start if isinstance(r.start, int) else start, fallback=fallback), None)
+        return subscription_id
 
     def next_records(self, subscription_id: str) -> DataFrame:
         """(subscription_id, cursor, event...) that a subscription may be sent now: past its ack, within its window."""

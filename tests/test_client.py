@@ -38,6 +38,29 @@ def test_client(spark, tmp_path):
     assert client.epsub_all().count() == 0
 
 
+def test_subscriptions_of_a_client(spark, tmp_path):
+    df, rows = make(spark, n=10)
+    client = Client(Engine.open(spark, str(tmp_path / "log"), LogConfig(strict_versioning=False)))
+    client.engine.store.load(df, spark.createDataFrame([], COMMIT))
+    client.engine._refresh()
+    m = client.manager()
+    live, some = m.subscribe_to_all_partitions(), m.subscribe_to_stream("a", from_version=3, window=1)
+    assert live.next_message() is None
+    assert [(x.cursor, x.stream_version) for x in some] == [(0, 3)]
+    some.acknowledge_up_to_cursor(0)
+    assert [(x.cursor, x.stream_version) for x in some] == [(1, 4)] and some.next_message() is None
+    client.eappend("a", "N")
+    assert [(x.stream_id, x.stream_version, x.cursor) for x in live] == [("a", 5, 0)]
+    p = rows[0][2]
+    assert len(list(m.subscribe_to_partition(rows[0][1], from_sequence=4))) == 2
+    assert len(list(m.subscribe_to_partitions([p, rows[1][2]], from_sequences={p: 5}, fallback=0))) == 6
+    assert len(list(m.subscribe_to_partition_range(0, 31, from_sequence=0))) == 11
+    assert len(list(m.subscribe_to_streams(["a", B], from_versions={"a": 0}))) == 6
+    live.unsubscribe()
+    with pytest.raises(EngineError):
+        live.next_message()
+
+
 def test_watermark_snapshots(spark, tmp_path):
     s = confirm.Snapshots(spark, str(tmp_path / "w"))
     assert s.load() is None
