@@ -5,7 +5,11 @@ proportion to a weight. The whole part of that number are certain copies; the
 fraction is an inclusion probability, and Pareto order sampling takes the
 documents with the least random odds over inclusion odds until the source has
 its tokens. The order is never sorted as a whole: binned sums show the bin that
-holds the cut, and only that bin is ranked.
+holds the cut, and only that bin is ranked. The prefix ends before the first
+document that does not fit. The rest of the goal, less than that document, is
+filled by a plan over the lengths of the undrawn ones, longest first, so a source
+never exceeds its goal and misses it by less than any document that it could
+still have had.
 """
 
 from __future__ import annotations
@@ -94,19 +98,48 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     w = Window.partitionBy("source").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     ranked = placed.where(at_cut).withColumn("reach", F.col("before") + F.sum("n_tokens").over(w)).withColumn("extra", (F.col("reach") <= F.col("need")).cast("int"))
     ranked = stage(ranked.select(*columns, "reach", "before", "need"), "cut")
-    # the gap that the prefix leaves is closed by the one undrawn document whose size fits it best
+    # the gap that the prefix leaves is less than the document that did not fit: a plan over lengths fills it
     gap = ranked.groupBy("source").agg((F.max("need") - F.coalesce(F.max(F.when(F.col("extra") == 1, F.col("reach"))), F.max("before"))).alias("gap"))
     gap = F.broadcast(stage(gap, "gap")) if few else gap
     undrawn = placed.where(F.col("bin") > F.col("cut_bin")).select("doc_id", "source", "n_tokens", "order").unionByName(ranked.where("extra = 0").select("doc_id", "source", "n_tokens", "order"))
-    off = F.abs(F.col("gap") - F.col("n_tokens"))
-    fit = undrawn.join(gap, "source").where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "order", "doc_id")).alias("fit")).select("source", F.col("fit.doc_id").alias("fit_doc"))
-    fit = F.broadcast(stage(fit, "fit")) if few else fit
+    fits = stage(undrawn.join(gap, "source").where(F.col("n_tokens") <= F.col("gap")), "fits")
+    # distinct lengths, all below one document's
+    taken = fits.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("gap")).groupBy("source").agg(F.max("gap").alias("gap"), F.array_sort(F.collect_list(F.struct((-F.col("n_tokens")).alias("order"), "n_tokens", "n"))).alias("steps"))
+    zero = F.struct(F.col("gap").cast("double").alias("gap"), F.array().cast("array<struct<n_tokens:bigint,take:bigint>>").alias("plan"))
+
+    def take(state: Column, step: Column) -> Column:
+        k = F.least(step["n"], F.floor(state["gap"] / step["n_tokens"])).cast("bigint")
+        here = F.array(F.struct(step["n_tokens"].cast("bigint").alias("n_tokens"), k.alias("take")))
+        return F.struct((state["gap"] - k * step["n_tokens"]).alias("gap"), F.when(k > 0, F.concat(state["plan"], here)).otherwise(state["plan"]).alias("plan"))
+
+    planned = taken.select("source", F.explode(F.aggregate("steps", zero, take, lambda x: x["plan"])).alias("p")).select("source", "p.n_tokens", "p.take")
+    planned = stage(planned, "fill")
+    most = planned.agg(F.coalesce(F.max("take"), F.lit(0))).first()[0]
+    rank = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy("order", "doc_id"))
+    own = fits.join(F.broadcast(planned) if planned.count() <= 100_000 else planned, ["source", "n_tokens"]).withColumn("rank", rank).where(F.col("rank") <= most)
+    fill = stage(own.where(F.col("rank") <= F.col("take")).select("source", "doc_id", F.lit(1).alias("filled")), "filled")
     all_ = placed.where(~at_cut).withColumn("extra", before_cut.cast("int")).select(*columns).unionByName(ranked.select(*columns))
-    extra = F.greatest("extra", F.coalesce((F.col("doc_id") == F.col("fit_doc")), F.lit(False)).cast("int"))
-    chosen = all_.join(fit, "source", "left").select("doc_id", "source", "n_tokens", (F.col("whole") + extra).alias("copies")).where("copies > 0")
+    extra = F.greatest("extra", F.coalesce("filled", F.lit(0)))
+    chosen = all_.join(fill, ["source", "doc_id"], "left").select("doc_id", "source", "n_tokens", (F.col("whole") + extra).alias("copies")).where("copies > 0")
     return chosen, g
 
 
+def check(chosen: DataFrame, goal: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per target source: whether caps are kept, and the goal neither exceeded nor missed by a document that still fitted.
+
+    ``docs`` as for ``mix``. A document fits if it has copies left and is no
+    longer than what is missing.
+    """
+    d = docs.where("source is not null and n_tokens > 0").select("doc_id", source_key("source").alias("source"), "n_tokens").dropDuplicates(["doc_id", "source"])
+    got = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed"), F.max("copies").alias("most"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("twice"))
+    r = goal.join(got, "source", "left").select("source", "max_repeats", "wanted_tokens", F.coalesce("mixed", F.lit(0)).alias("mixed"), F.coalesce("most", F.lit(0)).alias("most"), F.coalesce("twice", F.lit(0)).alias("twice"))
+    left = d.join(chosen.select("doc_id", "source", "copies"), ["doc_id", "source"], "left").join(r.select("source", "max_repeats", "wanted_tokens", "mixed"), "source")
+    fits = left.where((F.coalesce("copies", F.lit(0)) == 0) & (F.col("max_repeats") > 0) & (F.col("n_tokens") <= F.col("wanted_tokens") - F.col("mixed") - 1e-6)).groupBy("source").agg(F.count(F.lit(1)).alias("fits"))
+    return r.join(fits, "source", "left").select(
+        "source", (F.col("most") <= F.col("max_repeats")).alias("caps_kept"), (F.col("twice") == 0).alias("once_each"), (F.col("mixed") <= F.col("wanted_tokens") + 1e-6).alias("not_exceeded"), F.coalesce("fits", F.lit(0)).alias("undrawn_that_fit"),
+    )
+
+
 def shares(chosen: DataFrame, goal: DataFrame) -> DataFrame:
     """Per target source: tokens and documents in the mixture and the share of all its tokens that it reached."""
     got = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_docs"), F.max("copies").alias("most_copies"))

@@ -145,3 +145,22 @@ def report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     p = packed.where("container_no is not null").groupBy("budget_name").agg(F.count(F.lit(1)).alias("items"), (F.max("container_no") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"))
     caps = budgets.where("budget_name is not null and capacity_tokens >= 1").dropDuplicates(["budget_name"])
     return p.join(caps, "budget_name").select("budget_name", "capacity_tokens", "items", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
+
+
+def check(packed: DataFrame, sized: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Per budget: documents packed, containers over capacity, tokens left out, overlaps, texts cut without need, unused container numbers."""
+    caps = budgets.where("budget_name is not null and capacity_tokens >= 1").select("budget_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).dropDuplicates(["budget_name"])
+    p = packed.join(caps, "budget_name")
+    size = sized.select(F.col("doc_id").alias("_d"), F.coalesce("n_tokens", F.lit(0)).alias("whole"))
+    docs = p.groupBy("budget_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max("capacity").alias("capacity")).join(size, F.col("doc_id") == F.col("_d"))
+    per_doc = docs.groupBy("budget_name").agg(
+        F.count(F.lit(1)).alias("docs"), F.count(F.when(F.col("tokens") != F.col("whole"), 1)).alias("docs_incomplete"),
+        F.count(F.when((F.col("pieces") > 1) & (F.col("whole") <= F.col("capacity")) | (F.col("pieces") > F.ceil(F.col("whole") / F.col("capacity"))) & (F.col("whole") > 0), 1)).alias("docs_cut_needlessly"),
+    )
+    # a container holds no more than its capacity in pieces, and these lie side by side
+    boxes = p.where("container_no is not null").groupBy("budget_name", "container_no").agg(F.sum("n_tokens").alias("tokens"), F.max(F.col("at_token") + F.col("n_tokens")).alias("end"), F.max("capacity").alias("capacity"), F.count(F.lit(1)).alias("n"), F.count_distinct("at_token").alias("places"))
+    per_box = boxes.groupBy("budget_name").agg(
+        F.count(F.when((F.col("tokens") > F.col("capacity")) | (F.col("end") > F.col("capacity")), 1)).alias("overfull"), F.count(F.when((F.col("end") != F.col("tokens")) | (F.col("places") != F.col("n")), 1)).alias("overlapping"),
+        (F.max("container_no") + 1 - F.count(F.lit(1))).alias("unused_numbers"),
+    )
+    return per_doc.join(per_box, "budget_name")

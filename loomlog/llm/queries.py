@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.names import with_event_type
 from loomlog.llm import garbled, mixing, packing, runs, sequences, tokens
+from loomlog.scratch import stage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -64,6 +65,47 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(*mixing.mix(sized_documents(spark, sf, "source"), table(spark, sf, "mix_targets")))
 
 
+def p8_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What SQL can say of the packing: every document once and whole, nothing overfull, cut or overlapping without need."""
+    sized = stage(sized_documents(spark, sf), "sized")
+    budgets = table(spark, sf, "pack_budgets")
+    return packing.check(stage(packing.pack(sized, budgets), "packed"), sized, budgets)
+
+
+def p9_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What SQL can say of the mixture: caps kept, goals not exceeded, no undrawn document fits into what is missing."""
+    sized = stage(sized_documents(spark, sf, "source"), "sized")
+    chosen, goal = mixing.mix(sized, table(spark, sf, "mix_targets"))
+    return mixing.check(stage(chosen, "chosen"), goal, sized)
+
+
+def weighted_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that are wanted in proportion to their votes, at most 64 times the least."""
+    votes = F.least(F.greatest(F.coalesce("votes", F.lit(0)), F.lit(0)), F.lit(63))
+    return sized_documents(spark, sf, "source", "votes").withColumn("weight", (1 + votes).cast("double"))
+
+
+def p9_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """A mixture of a third of what is there, documents drawn with unequal probabilities: (doc_id, source, n_tokens, copies)."""
+    return _weighted(stage(weighted_documents(spark, sf), "sized"), spark, sf)[0]
+
+
+def _weighted(sized: DataFrame, spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    total = sized.where("source is not null").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    return mixing.mix(sized, table(spark, sf, "mix_targets"), total_tokens=total // 3)
+
+
+def p9_weighted_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The checks of a mixture, and whether documents of more weight have the larger share of draws in each source with both."""
+    sized = stage(weighted_documents(spark, sf), "sized")
+    chosen, goal = _weighted(sized, spark, sf)
+    chosen = stage(chosen, "chosen")
+    drawn = sized.where("n_tokens > 0 and source is not null").withColumn("source", mixing.source_key("source")).join(chosen.select("doc_id", "copies"), "doc_id", "left").fillna(0, ["copies"])
+    per = drawn.groupBy("source").agg((F.sum(F.col("weight") * F.col("copies")) / F.sum("copies")).alias("drawn"), F.avg("weight").alias("all"))
+    heavier = per.select("source", (F.coalesce("drawn", "all") >= F.col("all")).alias("heavier_drawn"))
+    return mixing.check(chosen, goal, sized).join(heavier, "source", "left").withColumn("heavier_drawn", F.coalesce("heavier_drawn", F.lit(True)))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return garbled.find(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id")
 
@@ -74,7 +116,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_patterns": p1_patterns, "p3_found": p3_found, "p3_runs": p3_runs,
-    "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p8_packed": p8_packed, "p8_report": p8_report, "p8_check": p8_check, "p9_check": p9_check, "p9_weighted": p9_weighted, "p9_weighted_check": p9_weighted_check, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
@@ -90,7 +132,12 @@ r AS (SELECT partition_id, stream_id, min(v) AS first_version, max(v) AS last_ve
       FROM g GROUP BY partition_id, stream_id, run, event_type)
 """
 
+_TARGETS = """SELECT DISTINCT regexp_replace(lower(trim(source)), '[\\s_-]+', '-', 'g') AS source, true AS caps_kept, true AS once_each, true AS not_exceeded, CAST(0 AS BIGINT) AS undrawn_that_fit"""
 ORACLES = {
+    "p8_check": """SELECT budget_name, (SELECT count(*) FROM documents) AS docs, CAST(0 AS BIGINT) AS docs_incomplete, CAST(0 AS BIGINT) AS docs_cut_needlessly,
+  CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS overlapping, CAST(0 AS BIGINT) AS unused_numbers FROM pack_budgets""",
+    "p9_check": _TARGETS + " FROM mix_targets",
+    "p9_weighted_check": _TARGETS + ", true AS heavier_drawn FROM mix_targets",
     "p3_found": _ISLANDS + "SELECT partition_id, stream_id, first_version, last_version FROM r WHERE n >= 2",
     "p3_runs": _ISLANDS + "SELECT * FROM r",
 }

@@ -30,6 +30,8 @@ from loomlog.scratch import stage
 BLOCK = 1 << 12
 FAN_IN = 64
 SHARD = 8192
+#: Partitions that shards are laid out in; more shards than that share them in order.
+MOST_TASKS = 20_000
 
 
 def reduce_word(word: list, k: int) -> list:
@@ -322,7 +324,9 @@ def frequent(sequences: DataFrame, share: float, least: int, longest: int, shard
     Enough: at least ``least`` and at least ``share`` of all ``sequences`` (an
     entity's row counts even if its word is empty). Patterns have one to
     ``longest`` items. Candidates, whose number depends on the threshold and not
-    on the number of sequences, are counted ``at_once`` at a time.
+    on the number of sequences, are divided by hash into parts of some
+    ``at_once``; a part is broadcast, counted and stored before the next comes
+    to the driver. Every part builds the diagrams again.
     """
     spark = sequences.sparkSession
     total = sequences.count()
@@ -335,7 +339,8 @@ def frequent(sequences: DataFrame, share: float, least: int, longest: int, shard
     code = {x: i for i, x in enumerate(names)}
     shards = max(1, math.ceil(total / shard))
     sharded = sequences.select(F.pmod(F.xxhash64(F.to_json(F.struct(*[c for c in sequences.columns if c != "word"]))), F.lit(shards)).alias("shard"), "word")
-    sharded = stage(sharded, "shards")
+    # ranges of shards as partitions: a shard is mined for seconds, however few bytes it has, so none wait for another in one task
+    sharded = stage(sharded, "shards").repartitionByRange(min(shards, MOST_TASKS), "shard")
     share_of = need / total
 
     def threshold(t: pa.Table) -> int:
@@ -360,11 +365,11 @@ def frequent(sequences: DataFrame, share: float, least: int, longest: int, shard
         found = mine(d, root, threshold(t), longest)
         return pa.table({"pattern": pa.array([list(p) for p in found], pa.list_(pa.int32())), "support": pa.array(list(found.values()), pa.int64())})
 
-    def recount(wanted: list[tuple]):
+    def recount(wanted):
         def one(t: pa.Table) -> pa.Table:
             d, root = diagram(t)
             own = threshold(t)
-            got = {p: n for p, n in count(d, root, wanted).items() if 0 < n < own}  # the others were reported
+            got = {p: n for p, n in count(d, root, wanted.value).items() if 0 < n < own}  # the others were reported
             return pa.table({"pattern": pa.array([list(p) for p in got], pa.list_(pa.int32())), "support": pa.array(list(got.values()), pa.int64())})
 
         return one
@@ -375,19 +380,15 @@ def frequent(sequences: DataFrame, share: float, least: int, longest: int, shard
     per = mined.groupBy("pattern").agg(F.sum("support").alias("support"), F.count(F.lit(1)).alias("reports"))
     # a shard that did not report a pattern holds it less often than its own threshold
     open_ = per.where((F.col("reports") < filled) & (F.col("support") + F.lit(int(slack)) >= need)).select("pattern")
-    open_ = stage(open_.withColumn("chunk", F.floor(F.row_number().over(_by_pattern()) / at_once)), "open")
-    chunks = open_.agg(F.max("chunk")).first()[0]
+    open_ = stage(open_, "open")
+    chunks = -(-open_.count() // at_once)
     missing = spark.createDataFrame([], "pattern array<int>, support bigint")
-    for c in range(0 if chunks is None else int(chunks) + 1):
-        wanted = sorted(tuple(r[0]) for r in open_.where(F.col("chunk") == c).select("pattern").collect())  # at most ``at_once``
-
-        missing = missing.unionByName(sharded.groupBy("shard").applyInArrow(recount(wanted), "pattern array<int>, support bigint"))
+    for c in range(chunks):  # one after the other: each is counted and stored before the next is read
+        own = open_.where(F.pmod(F.xxhash64("pattern"), F.lit(chunks)) == c) if chunks > 1 else open_
+        wanted = spark.sparkContext.broadcast(sorted(tuple(r[0]) for r in own.collect()))
+        counted = stage(sharded.groupBy("shard").applyInArrow(recount(wanted), "pattern array<int>, support bigint").groupBy("pattern").agg(F.sum("support").alias("support")), "recount")
+        wanted.unpersist()  # a lost task of a later stage reads what is stored
+        missing = missing.unionByName(counted)
     exact = mined.select("pattern", "support").unionByName(missing).groupBy("pattern").agg(F.sum("support").alias("support")).where(F.col("support") >= need)
     lookup = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     return exact.select(F.transform("pattern", lambda i: F.get(lookup, i)).alias("pattern"), "support")
-
-
-def _by_pattern():
-    from pyspark.sql import Window
-
-    return Window.orderBy("pattern")

@@ -93,6 +93,8 @@ def test_mix_reaches_shares_and_keeps_caps(spark):
     assert {r.source for r in got} == {"big-one", "small"}
     report = {r.source: r for r in M.shares(chosen, goals).collect()}
     assert abs(report["big-one"].reached_share - 0.75) < 0.005 and abs(report["small"].reached_share - 0.25) < 0.005
+    for r in M.check(chosen, goals, spark.createDataFrame(rows, DOC)).where("source <> 'gone'").collect():
+        assert (r.caps_kept, r.once_each, r.not_exceeded, r.undrawn_that_fit) == (True, True, True, 0), r
     again = M.mix(spark.createDataFrame(rows[::-1], DOC), targets)[0].collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
@@ -104,6 +106,17 @@ def test_mix_unequal_weights(spark):
     assert abs(len(odd) - 1000) <= 1 and 0.72 < sum(odd) / len(odd) < 0.88
 
 
+def test_the_gap_before_a_long_document_is_filled(spark):
+    """The first document that does not fit is a giant: many short ones take what it leaves."""
+    rows = [(i, "s", 100_000 if i % 3 == 0 else 700 + i) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOC)
+    for seed in range(3):
+        chosen, goals = M.mix(docs, spark.createDataFrame([("s", 1.0, 1)], TARGET), total_tokens=130_000, seed=seed)
+        got = sum(r.copies * r.n_tokens for r in chosen.collect())
+        assert 129_000 < got <= 130_000, (seed, got)
+        assert M.check(chosen, goals, docs).first().undrawn_that_fit == 0
+
+
 def test_mix_nothing(spark):
     none = spark.createDataFrame([], DOC)
     targets = spark.createDataFrame([("a", 1.0, 2)], TARGET)
