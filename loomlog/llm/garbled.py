@@ -18,10 +18,12 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,10 @@ from loomlog.scratch import stage
 LOST = "\N{REPLACEMENT CHARACTER}"
 #: Least relative frequency of a word or pair in the model: at most 1 / RARE entries of a kind.
 RARE = 2e-6
+#: Least count of a word in the model: the only place where a word stands may be the damage that is judged.
+TWICE = 2
+#: Distinct stretches that a task of the counting has, and the most such tasks.
+TASK_ROWS, MOST_TASKS = 8192, 20_000
 # tried only where a stretch begins, and never given back: linear in texts of any length
 STRETCH = r"(?<![^ \t\r\n])[\x00-\x08\x0b\x0c\x0e-\x1f\x21-\x7f]*+[^\x00-\x7F][^ \t\r\n]*+"
 _STRETCH = re.compile(STRETCH)
@@ -469,6 +475,10 @@ CHANNELS = [("", "")] + [("utf-8", r) for r in UTF8_READ_AS] + [("utf-8 2", r) f
 _MIXED = re.compile(r"[A-Za-z\u00c0-\u024f][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u024f]")
 
 
+#: Encodings in which a stretch may show the structure of UTF-8.
+STRUCTURAL = ("western", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "gbk")
+
+
 def structural(stretch: str) -> bool:
     """Whether a stretch cannot teach what intact text looks like.
 
@@ -477,7 +487,7 @@ def structural(stretch: str) -> bool:
     """
     if LOST in stretch or any("\x80" <= c < "\xa0" for c in stretch) or _MIXED.search(stretch):
         return True
-    for r in ("western", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "gbk"):
+    for r in STRUCTURAL:
         data = to_bytes(stretch, r)
         if data is not None:
             try:
@@ -490,34 +500,298 @@ def structural(stretch: str) -> bool:
     return False
 
 
+INVALID = 0xFFFF
+_MULTI = ("gbk", "cp932", "big5", "euc_kr")
+_ONE_BYTE_READS = sorted({r for _, r in CHANNELS[1:]} - {*_MULTI, "utf-8", "ascii"})
+_POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
+
+
+class Stretches:
+    """Many stretches as one array of characters, to test all of them at once."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+
+    def read_in(self, read: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of the stretches that a one-byte encoding can have been read as, their bytes, lengths and characters)."""
+        if read not in _luts:
+            lut = np.full(1 << 16, INVALID, np.uint16)
+            lut[:128] = np.arange(128)
+            for c, b in _bytes_of(read).items():
+                lut[ord(c)] = b
+            _luts[read] = lut
+        got = np.where(self.codes < 1 << 16, _luts[read][np.minimum(self.codes, INVALID)], INVALID)
+        starts = np.cumsum(self.lengths) - self.lengths
+        fine = np.maximum.reduceat(got, starts) < 256
+        kept = np.repeat(fine, self.lengths)
+        return np.flatnonzero(fine), got[kept].astype(np.uint8), self.lengths[fine], self.codes[kept]
+
+
+_luts: dict[str, np.ndarray] = {}
+
+
+def _neighbours(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the byte before, the byte after) each byte; 0 at the ends of a stretch."""
+    before, after = np.empty_like(data), np.empty_like(data)
+    before[1:], after[:-1] = data[:-1], data[1:]
+    before[starts] = 0
+    after[np.append(starts[1:], len(data)) - 1] = 0
+    return before, after
+
+
+def _all_in(fine: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.minimum.reduceat(fine, starts))
+
+
+def utf8_shaped(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of the stretches in which every high byte is where UTF-8 may have one; others cannot be UTF-8."""
+    if not len(lengths):
+        return lengths
+    starts = np.cumsum(lengths) - lengths
+    before, after = _neighbours(data, starts)
+    follows = (data & 0xC0) == 0x80
+    leads = (data >= 0xC2) & (data <= 0xF4) & ((after & 0xC0) == 0x80)
+    return _all_in((data < 128) | leads | follows & (before >= 128), starts)
+
+
+def structural_many(texts: list[str]) -> list[bool]:
+    """``structural`` of many stretches; the shape of their bytes says at once which few can be multi-byte UTF-8."""
+    if not texts:
+        return []
+    many = Stretches(texts)
+    open_ = np.zeros(len(texts), bool)
+    for r in STRUCTURAL:
+        if r not in _MULTI:
+            numbers, data, lengths, _ = many.read_in(r)
+            open_[numbers[utf8_shaped(data, lengths)]] = True
+    return [
+        LOST in s or any("\x80" <= c < "\xa0" for c in s) or bool(_MIXED.search(s)) or (bool(o) or _encode(s, "gbk") is not None) and structural(s)
+        for s, o in zip(texts, open_)
+    ]
+
+
+class _Pairs:
+    """Which bytes and pairs of bytes an encoding of two-byte characters has."""
+
+    def __init__(self, written: str):
+        self.single, self.double = np.zeros(256, bool), np.zeros((256, 256), bool)
+        for a in range(128, 256):
+            self.single[a] = _decodes(bytes([a]), written)
+            for b in range(256):
+                self.double[a, b] = _decodes(bytes([a, b]), written)
+        self.longer = np.zeros(256, bool)
+        self.longer[[0x8E, 0x8F]] = written == "euc_jp"
+
+    def shaped(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The numbers of the stretches whose high bytes can all be part of a character."""
+        if not len(lengths):
+            return lengths
+        starts = np.cumsum(lengths) - lengths
+        before, after = _neighbours(data, starts)
+        fine = (data < 128) | self.single[data] | self.double[data, after] | self.double[before, data]
+        if self.longer.any():
+            odd = np.maximum.reduceat(self.longer[data], starts)
+            fine |= np.repeat(odd, lengths)
+        return _all_in(fine, starts)
+
+
+def _encode(text: str, read: str) -> bytes | None:
+    """``to_bytes`` of a text without lost characters."""
+    try:
+        return text.encode(read)
+    except UnicodeEncodeError:
+        data = to_bytes(text, read) if read == "gbk" and _CONTROL.search(text) else None
+        return bytes(data) if data is not None else None
+
+
+def _decodes(data: bytes, encoding: str) -> bool:
+    try:
+        data.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+class _Reader:
+    """The likelihood of bytes as text of a one-byte encoding, for many stretches at once; the same as ``Model.score``."""
+
+    def __init__(self, written: str, scorer: _Scorer):
+        chars = _chars_of(written)
+        low = ["0" if "0" <= c <= "9" else c.lower() for c in chars]
+        self.hashes, self.logs = scorer.hashes, scorer.logs
+        self.char = np.array([ord(c) if c else 0 for c in chars], np.uint32)
+        self.fine = np.array([bool(c) and not _CONTROL.match(c) for c in chars])
+        # a small form that depends on its neighbours, or is several characters, is left to the scoring of texts
+        self.tricky = np.array([len(x) > 1 or c == "\u03a3" for c, x in zip(chars, low)])
+        self.letter = np.array([bool(_WORD.fullmatch(x)) for x in low])
+        self.code = np.array([ord(x[0]) if x else 0 for x in low], np.uint64)
+        place = scorer.places(self.code.astype(np.uint32))
+        rows, columns = np.append(place, scorer.start), np.append(place, scorer.end)
+        self.pair = scorer.pairs(np.repeat(rows, 257), np.tile(columns, 257)).reshape(257, 257)
+
+    def scores(self, data: np.ndarray, lengths: np.ndarray, shown: np.ndarray) -> np.ndarray:
+        """The score of each stretch; -inf where it is no such text or the text ``shown``, inf where only the text tells."""
+        starts = np.cumsum(lengths) - lengths
+        before = np.empty(len(data), np.int64)
+        before[1:] = data[:-1]
+        before[starts] = 256
+        p = self.pair[before, data]
+        total = np.add.reduceat(p, starts) + self.pair[data[starts + lengths - 1], 256]
+        total += _word_gain(self.letter[data], self.code[data], data >= 128, p, starts, lengths, self.hashes, self.logs)
+        total[np.maximum.reduceat(self.tricky[data], starts)] = math.inf
+        total[~np.minimum.reduceat(self.fine[data], starts) | np.minimum.reduceat(self.char[data] == shown, starts)] = -math.inf
+        return total
+
+
+class _Scorer:
+    """``Model.score`` of many texts at once."""
+
+    def __init__(self, model: Model, hashes: np.ndarray, logs: np.ndarray):
+        self.model, self.hashes, self.logs = model, hashes, logs
+        letters = sorted(c for c in {*model.chars, "^", "$"} if len(c) == 1)
+        self.alphabet = np.array([ord(c) for c in letters], np.uint32)
+        place = {c: i for i, c in enumerate(letters)}
+        self.size = len(letters) + 1  # the last place is that of unknown characters
+        self.char = np.array([model.char(c) for c in letters] + [model.unseen])
+        self.count = np.log(np.array([model.chars.get(c, 0) for c in letters] + [0]) + 5.0)
+        known = sorted((place[k[0]] * self.size + place[k[1]], k) for k in model.pairs if len(k) == 2 and k[0] in place and k[1] in place)
+        self.keys = np.array([k for k, _ in known], np.int64)
+        self.pair = np.array([model.pair(k[0], k[1]) for _, k in known])
+        self.start, self.end = place["^"], place["$"]
+        self._letter: dict[int, bool] = {}
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Where characters are in the alphabet of the model; all that it lacks share the last place."""
+        place = np.minimum(np.searchsorted(self.alphabet, codes), self.size - 2)
+        return np.where(self.alphabet[place] == codes, place, self.size - 1)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """log P(b | a) of places, as ``Model.pair``."""
+        out = math.log(5) + self.char[b] - self.count[a]
+        if len(self.keys):
+            key = a * self.size + b
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out = np.where(self.keys[k] == key, self.pair[k], out)
+        return out
+
+    def scores(self, texts: list[str]) -> list[float]:
+        short = [i for i, t in enumerate(texts) if 0 < len(t) <= len(_POWERS) // 2 and LOST not in t]
+        out = [0.0] * len(texts)
+        if short:
+            for i, v in zip(short, self._scores([_DIGIT.sub("0", texts[i].lower()) for i in short]).tolist()):
+                out[i] = v
+        if len(short) < len(texts):
+            for i in set(range(len(texts))).difference(short):
+                out[i] = self.model.score(texts[i])
+        return out
+
+    def _scores(self, low: list[str]) -> np.ndarray:
+        many = Stretches(low)
+        codes, lengths = many.codes, many.lengths
+        starts = np.cumsum(lengths) - lengths
+        place = self.places(codes)
+        before = np.empty_like(place)
+        before[1:] = place[:-1]
+        before[starts] = self.start
+        p = self.pairs(before, place)
+        last = place[starts + lengths - 1]
+        total = np.add.reduceat(p, starts) + self.pairs(last, np.full(len(last), self.end))
+        kinds, which = np.unique(codes, return_inverse=True)
+        letter = np.array([bool(_WORD.fullmatch(chr(c))) for c in kinds.tolist()])[which]
+        return total + _word_gain(letter, codes, codes >= 128, p, starts, lengths, self.hashes, self.logs)
+
+
+def _word_gain(letter: np.ndarray, codes: np.ndarray, special: np.ndarray, p: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """What each stretch gains by its known words that are not plain ASCII counting as wholes."""
+    at = np.flatnonzero(letter)
+    if not len(at) or not len(hashes):
+        return np.zeros(len(lengths))
+    opens = letter.copy()
+    opens[1:] &= ~letter[:-1]
+    opens[starts] |= letter[starts]
+    first = np.flatnonzero(opens[at])
+    sizes = np.diff(np.append(first, len(at)))
+    place = np.minimum(np.arange(len(at)) - np.repeat(first, sizes), len(_POWERS) - 1)
+    h = np.add.reduceat(codes[at].astype(np.uint64) * _POWERS[place], first)
+    spelled = np.add.reduceat(p[at], first)
+    k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    known = np.maximum.reduceat(special[at], first) & (hashes[k] == h)
+    gain = np.where(known, np.maximum(logs[k] - spelled, 0.0), 0.0)
+    of = np.repeat(np.arange(len(lengths)), lengths)[at[first]]
+    return np.bincount(of, weights=gain, minlength=len(lengths))
+
+
 class Decoder:
-    """Emissions of all channels for a stretch, and the search over a document."""
+    """Emissions of all channels for a stretch, and the search over a document.
+
+    Entering a damaged channel costs, more so by one lone character whose bytes
+    have no structure; leaving it costs little. A reading that is behind the
+    text as it stands by the price of leaving the channel and entering it again
+    is in no best path: being intact there would be better. Such readings, and
+    states that far behind, are dropped; nothing else is.
+    """
 
-    def __init__(self, model: Model, enter_utf8: float = 5.0, enter: float = 14.0, leave: float = 1.0):
-        self.model, self.leave = model, leave
+    def __init__(self, model: Model, enter_utf8: float = 5.0, enter: float = 14.0, leave: float = 1.0, lone: float = 6.0):
+        self.model, self.leave, self.lone = model, leave, lone
         self.enter = [0.0] + [enter_utf8 if w.startswith("utf-8") else enter for w, _ in CHANNELS[1:]]
-        self._memo: dict[str, tuple[float, list]] = {}
+        #: What is lost at most by not being in a channel for one stretch.
+        self.reach = [0.0] + [leave + e + (0.0 if w.startswith("utf-8") else lone) for e, (w, _) in zip(self.enter[1:], CHANNELS[1:])]
+        self._memo: dict[str, tuple[float, list, float, float]] = {}
+        self._readers: dict[str, _Reader] = {}
+        self._pairs: dict[str, _Pairs] = {}
+        self._words: tuple[np.ndarray, np.ndarray] | None = None
+        self._texts: _Scorer | None = None
 
     def readings(self, stretch: str) -> tuple[float, list[tuple[int, float, str]]]:
         """(log likelihood as it stands, [(channel, log likelihood, restored)] of the channels it can have come through)."""
+        own, read, _, _ = self._of(stretch)
+        return own, [(c, score, self._restored(stretch, c, text)) for c, score, text in read]
+
+    def _of(self, stretch: str) -> tuple[float, list[tuple[int, float, str | None]], float, float]:
+        """As ``readings``, texts only where they had to be made, and the most that a channel of UTF-8 and one of another gain."""
         got = self._memo.get(stretch)
         if got is None:
-            if len(self._memo) > 200_000:
-                self._memo.clear()
-            got = self._memo[stretch] = self._read(stretch)
+            self.prepare([stretch])
+            got = self._memo[stretch]
         return got
 
-    def _read(self, stretch: str) -> tuple[float, list[tuple[int, float, str]]]:
+    @staticmethod
+    def _restored(stretch: str, c: int, text: str | None) -> str:
+        written, read = CHANNELS[c]
+        return text if text is not None else bytes(to_bytes(stretch, read)).decode(written)
+
+    @staticmethod
+    def _hope(own: float, read: list) -> tuple[float, list, float, float]:
+        gain = [0.0, 0.0]
+        for c, score, _ in read:
+            k = not CHANNELS[c][0].startswith("utf-8")
+            gain[k] = max(gain[k], score - own)
+        return own, read, *gain
+
+    def prepare(self, stretches: Iterable[str]) -> None:
+        """Find the readings of many stretches at once, each distinct one only once."""
+        if len(self._memo) > 200_000:
+            self._memo.clear()
+        new = [s for s in dict.fromkeys(stretches) if s not in self._memo]
+        for s in new:
+            if LOST in s:
+                self._memo[s] = self._hope(*self._read_lost(s))
+        plain = [s for s in new if LOST not in s]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            self._memo.update((s, self._hope(*r)) for s, r in zip(part, self._read_many(part)))
+
+    def _read_lost(self, stretch: str) -> tuple[float, list[tuple[int, float, str]]]:
         m = self.model
-        own = m.score(stretch)
         out = []
         coded: dict[str, list[int] | None] = {}
-        decoded: dict[tuple[str, str], str] = {}
         for c, (written, read) in enumerate(CHANNELS):
             if not c:
                 continue
             if read not in coded:
-                coded[read] = to_bytes(stretch, read) if read != "utf-8" else [WILD if x == LOST else ord(x) for x in stretch] if LOST in stretch else None
+                coded[read] = to_bytes(stretch, read) if read != "utf-8" else [WILD if x == LOST else ord(x) for x in stretch]
             data = coded[read]
             if data is None:
                 continue
@@ -531,33 +805,110 @@ class Decoder:
                     text = filled
                 out.append((c, max(s, m.score(text)), text))
                 continue
-            if WILD in data:
-                # what was lost of UTF-8 may be any byte; of other encodings, and of text written twice, one that the reader lacks
-                known = data if written == "utf-8" else _with_lost(data, read)
-                got = _lattice(known, written, read, m) if known else None
-                if got and got[0] != stretch:
-                    out.append((c, max(got[1], m.score(got[0])), got[0]))
+            # what was lost of UTF-8 may be any byte; of other encodings, and of text written twice, one that the reader lacks
+            known = data if written == "utf-8" else _with_lost(data, read)
+            got = _lattice(known, written, read, m) if known else None
+            if got and got[0] != stretch:
+                out.append((c, max(got[1], m.score(got[0])), got[0]))
+        # where readings are alike, the one that any byte is lost in comes first
+        out.sort(key=lambda r: CHANNELS[r[0]][1] != "utf-8")
+        return m.score(stretch), out
+
+    def _read_many(self, texts: list[str]) -> list[tuple[float, list[tuple[int, float, str]]]]:
+        """The readings of stretches without lost characters.
+
+        Arrays rule out, for all stretches at once, the channels that cannot
+        have written a stretch or whose reading is too unlikely to matter; what
+        is left is decoded and scored as text.
+        """
+        own = self._scorer().scores(texts)
+        asked: list[tuple[int, int, str]] = []
+        out: list[list[tuple[int, float, str]]] = [[] for _ in texts]
+        many = Stretches(texts)
+        for read in _ONE_BYTE_READS:
+            numbers, data, lengths, shown = many.read_in(read)
+            if not len(numbers):
                 continue
-            text = stretch
-            try:
+            starts = np.cumsum(lengths) - lengths
+            raw = data.tobytes()
+            shaped: dict[str, np.ndarray] = {}
+            base = np.array([own[i] for i in numbers])
+            for c, written in _channels_of(read):
                 if written.startswith("utf-8"):
-                    for k in range(int(written[6:] or 1)):
-                        again = data if not k else to_bytes(text, read)
-                        if again is None:
-                            raise UnicodeDecodeError("utf-8", b"", 0, 1, "")
-                        text = bytes(again).decode("utf-8")
+                    if "utf-8" not in shaped:
+                        shaped["utf-8"] = utf8_shaped(data, lengths)
+                    which = shaped["utf-8"]
+                elif written in _ONE_BYTE:
+                    scores = self._reader(written).scores(data, lengths, shown)
+                    which = np.flatnonzero(scores > base - self.reach[c])
+                    for k, i, v in zip(which.tolist(), numbers[which].tolist(), scores[which].tolist()):
+                        if v < math.inf:
+                            out[i].append((c, v, None))
+                    which = which[scores[which] == math.inf]
                 else:
-                    text = bytes(data).decode(written)
-            except UnicodeDecodeError:
-                continue
-            # every unknown character costs at least ``unseen``, so most readings need no search
-            if text != stretch and len(set(text.lower()) - m.known) * m.unseen > own - 12 and not _CONTROL.search(text):
-                s = m.score(text)
-                if s > own - 12:
-                    out.append((c, s, text))
-        if LOST in stretch:  # where readings are alike, the one that any byte is lost in comes first
-            out.sort(key=lambda r: CHANNELS[r[0]][1] != "utf-8")
-        return own, out
+                    if written not in self._pairs:
+                        self._pairs[written] = _Pairs(written)
+                    which = self._pairs[written].shaped(data, lengths)
+                for k in which.tolist():
+                    i, a = int(numbers[k]), int(starts[k])
+                    text = self._decode(texts[i], c, raw[a : a + int(lengths[k])], own[i])
+                    if text is not None:
+                        asked.append((i, c, text))
+        for read in _MULTI:
+            channels = _channels_of(read)
+            for i, s in enumerate(texts):
+                data = _encode(s, read)
+                if data is not None:
+                    for c, _ in channels:
+                        text = self._decode(s, c, data, own[i])
+                        if text is not None:
+                            asked.append((i, c, text))
+        for (i, c, text), score in zip(asked, self._scorer().scores([t for _, _, t in asked])):
+            if score > own[i] - self.reach[c]:
+                out[i].append((c, score, text))
+        for found in out:
+            found.sort(key=lambda r: r[0])
+        return list(zip(own, out))
+
+    def _known_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words that are not plain ASCII, sorted, and their log likelihoods."""
+        if self._words is None:
+            m = self.model
+            special = [(w, n) for w, n in m.words.items() if not w.isascii() and len(w) <= len(_POWERS)]
+            hashes = np.array([np.sum(np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.uint64) * _POWERS[: len(w)], dtype=np.uint64) for w, _ in special], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self._words = hashes[order], np.array([math.log(n / (m.n_words + 500)) for _, n in special])[order]
+        return self._words
+
+    def _reader(self, written: str) -> _Reader:
+        if written not in self._readers:
+            self._readers[written] = _Reader(written, self._scorer())
+        return self._readers[written]
+
+    def _scorer(self) -> _Scorer:
+        if self._texts is None:
+            self._texts = _Scorer(self.model, *self._known_words())
+        return self._texts
+
+    def _decode(self, stretch: str, c: int, data: bytes, own: float) -> str | None:
+        """The reading of a stretch through a channel, if there is one that can matter."""
+        m, (written, read) = self.model, CHANNELS[c]
+        text = stretch
+        try:
+            if written.startswith("utf-8"):
+                for k in range(int(written[6:] or 1)):
+                    again = data if not k else to_bytes(text, read)
+                    if again is None:
+                        return None
+                    text = bytes(again).decode("utf-8")
+            else:
+                text = data.decode(written)
+        except UnicodeDecodeError:
+            return None
+        # every unknown character costs at least ``unseen``
+        if text == stretch or len(set(text.lower()) - m.known) * m.unseen <= own - self.reach[c] or _CONTROL.search(text):
+            return None
+        return text
 
     def suspect(self, stretch: str) -> bool:
         """Whether a damaged channel explains a stretch better than the intact one.
@@ -565,52 +916,84 @@ class Decoder:
         At the price of entering the channel, or half of it for a stretch with
         several characters to tell by.
         """
-        own, read = self.readings(stretch)
+        own, read, utf8, other = self._of(stretch)
+        if not utf8 and not other:
+            return False
         price = 0.5 if sum(c > "\x7f" for c in stretch) > 2 else 1.0
         return any(score - own > self.enter[c] * price for c, score, _ in read)
 
-    def document(self, text: str) -> tuple[list[tuple[int, int, int, str]], float]:
+    def document(self, text: str, spans: list[tuple[int, int, str]] | None = None) -> tuple[list[tuple[int, int, int, str]], float]:
         """([(start, end, channel, restored)], gain in log likelihood) of the damaged stretches."""
-        quoted = [m.span() for m in _QUOTED.finditer(text)] if "`" in text else []
-        spans = []
-        q = 0
-        for m in _STRETCH.finditer(text):
-            a, b = m.span()
-            while q < len(quoted) and quoted[q][1] <= a:
-                q += 1
-            if q < len(quoted) and quoted[q][0] < b:  # on purpose: what is not in the quotation still counts
-                rest = text[a : max(a, quoted[q][0])] + text[min(b, quoted[q][1]) : b]
-                if rest.isascii() or quoted[q][0] >= a and quoted[q][1] <= b or quoted[q][0] <= a:
-                    continue
-            spans.append((a, b, m.group()))
-        if not spans:
+        spans = list(spans_of(text)) if spans is None else spans
+        found = [self._of(s) for _, _, s in spans]
+        # what channels gain at most, all together, does not pay for entering one: no search is needed
+        if sum(f[2] for f in found) <= self.enter[1] and sum(f[3] for f in found) <= self.enter[-1]:
             return [], 0.0
         # channel -> (likelihood relative to the intact text, link); 0 is the intact channel
         live: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for i, (_, _, s) in enumerate(spans):
-            own, read = self.readings(s)
+            own, read, _, _ = found[i]
             home, home_link = max(((v - (self.leave if c else 0.0), link) for c, (v, link) in live.items()), key=lambda x: x[0])
             nxt: dict[int, tuple[float, tuple | None]] = {0: (home, home_link)}
             for c, score, restored in read:
                 stay = live.get(c)
-                # one character alone is too little to enter a channel by, if its bytes have no structure
+                # one character alone tells little, if its bytes have no structure
                 alone = len(s) == 1 and not CHANNELS[c][0].startswith("utf-8") and LOST not in s
-                v, link = -math.inf if alone else home - self.enter[c], home_link
+                v, link = home - self.enter[c] - self.lone * alone, home_link
                 if c and stay is not None and stay[0] >= v:
                     v, link = stay
-                if v > -math.inf:
-                    nxt[c] = (v + score - own, (link, i, c, restored))
+                nxt[c] = (v + score - own, (link, i, c, restored))
             best = max(v for v, _ in nxt.values())
-            live = {c: x for c, x in nxt.items() if x[0] > best - 40 or c == 0}
+            live = {c: x for c, x in nxt.items() if x[0] > best - self.reach[c] or c == 0}
         gain, link = max(live.values(), key=lambda x: x[0])
         out = []
         while link is not None:
             link, i, c, restored = link
-            out.append((spans[i][0], spans[i][1], c, restored))
+            out.append((spans[i][0], spans[i][1], c, self._restored(spans[i][2], c, restored)))
         out.reverse()
         return out, gain
 
 
+def spans_of(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, stretch) of the stretches of a text that are not plain ASCII.
+
+    Inline code is quoted on purpose: it is cut out, and what stands before and
+    after it without a blank are stretches of their own.
+    """
+    quoted = [m.span() for m in _QUOTED.finditer(text)] if "`" in text else []
+    q = 0
+    for m in _STRETCH.finditer(text):
+        a, b = m.span()
+        while q < len(quoted) and quoted[q][1] <= a:
+            q += 1
+        k = q
+        while k < len(quoted) and quoted[k][0] < b:
+            if a < quoted[k][0] and not text[a : quoted[k][0]].isascii():
+                yield a, quoted[k][0], text[a : quoted[k][0]]
+            a = max(a, quoted[k][1])
+            k += 1
+        if a < b and (a == m.start() or not text[a:b].isascii()):
+            yield a, b, text[a:b]
+
+
+def _channels_of(read: str) -> list[tuple[int, str]]:
+    """(number, written) of the channels that are read in an encoding."""
+    return [(c, w) for c, (w, r) in enumerate(CHANNELS) if c and r == read]
+
+
+def decoder_of(shared, number: str) -> Decoder:
+    """The decoder of a broadcast model, one per worker process: its tables and what it has read serve later tasks."""
+    kept = sys.__dict__.setdefault("_loomlog_decoders", {})  # functions come by value, so a module of ours would be new in every task
+    if number not in kept:
+        decoder = Decoder(Model(*shared.value))
+        for older in list(kept):
+            decoder._pairs.update(kept[older]._pairs)  # these are of encodings, not of a model
+            if len(kept) > 1:
+                kept.pop(older)
+        kept[number] = decoder
+    return kept[number]
+
+
 MODEL_SCHEMA = "kind string, key string, n bigint"
 
 
@@ -625,6 +1008,8 @@ def frequencies(docs: DataFrame, text: str = "text", rare: float = RARE, rounds:
     """
     found = docs.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(STRETCH), F.lit(0))).alias("stretch")).groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))
     found = stage(found, "stretches")
+    # by rows, not by bytes: stretches are few bytes and take long
+    found = found.repartition(max(1, min(-(-found.count() // TASK_ROWS), MOST_TASKS)))
     model = None
     for _ in range(rounds):
         model = _count(found, rare, model)
@@ -633,13 +1018,17 @@ def frequencies(docs: DataFrame, text: str = "text", rare: float = RARE, rounds:
 
 def _count(found: DataFrame, rare: float, model: Model | None) -> Model:
     shared = found.sparkSession.sparkContext.broadcast(model.tables()) if model else None
+    number = str(shared._jbroadcast.id()) if shared else ""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(Model(*shared.value)) if shared else None
+        decoder = decoder_of(shared, number) if shared else None
         for b in batches:
             words, chars, pairs = Counter(), Counter(), Counter()
-            for s, n in zip(b["stretch"], b["n"]):
-                if structural(s) or decoder and decoder.suspect(s):
+            clean = [(s, n) for s, n, odd in zip(b["stretch"], b["n"], structural_many(list(b["stretch"]))) if not odd]
+            if decoder:
+                decoder.prepare(s for s, _ in clean)
+            for s, n in clean:
+                if decoder and decoder.suspect(s):
                     continue
                 t = _DIGIT.sub("0", s.lower())
                 for w in _WORD.findall(t):
@@ -661,7 +1050,7 @@ def _count(found: DataFrame, rare: float, model: Model | None) -> Model:
     for k, n in totals.items():
         least = F.when(F.col("kind") == k, F.lit(rare * n)).otherwise(least)
     kept: dict[str, dict[str, int]] = {"w": {}, "c": {}, "p": {}}
-    for k, key, n in counted.where((F.col("n") >= least) & ((F.col("n") >= 2) | (F.col("kind") != "w"))).collect():
+    for k, key, n in counted.where((F.col("n") >= least) & ((F.col("n") >= TWICE) | (F.col("kind") != "w"))).collect():
         kept[k][key] = n
     return Model(kept["w"], kept["c"], kept["p"], totals.get("w", 0), totals.get("c", 0))
 
@@ -680,16 +1069,16 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.tables())
     todo = docs.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(key), F.col(text).alias("_text"))
-    state: dict = {}
+    number = str(shared._jbroadcast.id())
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if "decoder" not in state:
-            state["decoder"] = Decoder(Model(*shared.value))
-        d = state["decoder"]
+        d = decoder_of(shared, number)
         for b in batches:
             rows = []
-            for k, t in zip(b[key], b["_text"]):
-                spans, gain = d.document(t)
+            stretches = [list(spans_of(t)) for t in b["_text"]]
+            d.prepare(s for own in stretches for _, _, s in own)
+            for k, t, own in zip(b[key], b["_text"], stretches):
+                spans, gain = d.document(t, own)
                 spans = [s for s in spans if s[3] != t[s[0] : s[1]]]
                 open_ = LOST in (_QUOTED.sub("", t) if "`" in t else t)
                 if not spans and not open_:
