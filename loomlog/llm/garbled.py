@@ -45,7 +45,6 @@ _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 _CONTROL = re.compile("[\\x00-\\x1f\\x7f-\\x9f\\ue000-\\uf8ff]")
 WILD = -1
-_NONE: frozenset[str] = frozenset()
 
 # Encodings of written and of read text, as (written, read) channels.
 UTF8_READ_AS = ["western", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp866", "koi8-r", "mac_roman", "iso8859-2", "gbk", "cp932", "big5", "euc_kr"]
@@ -232,10 +231,6 @@ class Model:
         self._log: dict[str, float] = {}
         self.unseen = math.log(0.01 / (self.n_chars + 500))
         self.known = {*self.chars, *map(chr, range(128))}
-        self._before: dict[str, set[str]] = {}
-        for k in self.pairs:
-            if len(k) == 2:
-                self._before.setdefault(k[1], set()).add(k[0])
 
     def tables(self) -> tuple:
         return self.words, self.chars, self.pairs, self.n_words, self.n_chars
@@ -255,18 +250,6 @@ class Model:
                 self._log.clear()
         return v
 
-    def after(self, a: str) -> float:
-        """What ``pair`` divides by after ``a``."""
-        return math.log(self.chars.get(a, 0) + 5)
-
-    def backoff(self, b: str) -> float:
-        """log P(b | a) of a pair that the model lacks, but for ``after``."""
-        return math.log(5) + self.char(b)
-
-    def before(self, b: str) -> set[str]:
-        """The characters that the model has before ``b``."""
-        return self._before.get(b, _NONE)
-
     def score(self, text: str) -> float:
         """log likelihood of a stretch; known words count as wholes where that is better."""
         s = _DIGIT.sub("0", text.lower())
@@ -375,65 +358,134 @@ def _low(c: str) -> str:
     return "0" if "0" <= low <= "9" else low[0] if low else low
 
 
-def _step(states: dict, options: list[tuple[str, float]], model: Model, into: dict) -> None:
-    """Add to ``into`` the likeliest way from any state to each option; states are (log likelihood, link).
+class _Arrivals:
+    """The likeliest way on from a set of states, for all characters at once.
 
-    Exact without trying all pairs: a pair that the model lacks backs off to the
-    frequency of its second character, so one predecessor is the best of all
-    those; only the pairs that the model has are looked at one by one.
+    Exact without a matrix of all pairs: a pair that the model lacks backs off
+    to the frequency of its second character, so one predecessor is the best of
+    all those; the pairs that the model has lie in arrays by either character.
     """
-    few = len(states) <= 4
-    if not few:
-        away = {}
-        for p, (v, link) in states.items():
-            away["^" if p == LOST else p] = max((v, link), away.get("^" if p == LOST else p, (-math.inf, None)), key=lambda x: x[0])
-        back_v, back_link = max(((v - model.after(p), link) for p, (v, link) in away.items()), key=lambda x: x[0])
-    lost_v, lost_link = max(states.values(), key=lambda x: x[0])
-    for c, extra in options:
-        low = _low(c)
-        if c == LOST:
-            best, link = lost_v + extra, lost_link
-        elif few:
-            best, link = max(((v + model.pair(p if p != LOST else "^", low), k) for p, (v, k) in states.items()), key=lambda x: x[0])
-        else:
-            best, link = back_v + model.backoff(low), back_link
-            seen = model.before(low)
-            for p in seen if len(seen) < len(away) else away:
-                got = away.get(p)
-                if got is not None and p in seen:
-                    s = got[0] + model.pair(p, low)
-                    if s > best:
-                        best, link = s, got[1]
-        if best > into.get(low, (-math.inf, None))[0]:
-            into[low] = (best, (link, c))
-
-
-def _spell(states: dict) -> tuple[str, float]:
-    v, link = max(states.values(), key=lambda x: x[0])
+
+    FEW = 8
+
+    def __init__(self, scorer: _Scorer):
+        self.scorer = scorer
+        size = scorer.size
+        self.plain = math.log(5) + scorer.char
+        first, second = scorer.keys // size, scorer.keys % size
+        self.by_first = np.searchsorted(first, np.arange(size + 1))
+        self.second, self.value = second, scorer.pair
+        order = np.argsort(second, kind="stable")
+        self.before, self.pair = first[order], scorer.pair[order]
+        self.targets, self.starts = np.unique(second[order], return_index=True)
+        self.sizes = np.diff(np.append(self.starts, len(order)))
+
+    def best(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log likelihood, state it comes from) of every next character."""
+        s = self.scorer
+        live = np.flatnonzero(values > -math.inf)
+        if len(live) <= self.FEW:
+            top, source = np.full(s.size, -math.inf), np.zeros(s.size, np.int64)
+            for p in live.tolist():
+                row = self.plain - s.count[p]
+                a, b = self.by_first[p], self.by_first[p + 1]
+                row[self.second[a:b]] = self.value[a:b]
+                row += values[p]
+                better = row > top
+                top[better], source[better] = row[better], p
+            return top, source
+        rest = values - s.count
+        p = int(np.argmax(rest))
+        top, source = rest[p] + self.plain, np.full(s.size, p)
+        if len(self.pair):
+            got = values[self.before] + self.pair
+            most = np.maximum.reduceat(got, self.starts)
+            at = np.flatnonzero(got == np.repeat(most, self.sizes))
+            of = np.searchsorted(self.starts, at, side="right") - 1
+            which, k = np.unique(of, return_index=True)
+            most, back, target = most[which], self.before[at[k]], self.targets[which]
+            better = most > top[target]
+            top[target[better]], source[target[better]] = most[better], back[better]
+        return top, source
+
+
+class _States:
+    """What is known at one position: the likelihood and the way of the best string that ends in each character."""
+
+    __slots__ = ("values", "ways")
+
+    def __init__(self, size: int):
+        self.values, self.ways = np.full(size, -math.inf), {}
+
+    def add(self, top: np.ndarray, source: np.ndarray, came: _States, options: _Options) -> None:
+        """Go on from ``came`` by any of the options."""
+        v = top[options.places] + options.extra
+        for k in np.flatnonzero(v > self.values[options.places]).tolist():
+            place = int(options.places[k])
+            self.values[place] = v[k]
+            self.ways[place] = (came.ways.get(int(source[place])), options.chars[k])
+
+    def lose(self, came: _States, start: int, price: float) -> None:
+        """Leave a character open: what follows it is as likely as at a beginning."""
+        p = int(np.argmax(came.values))
+        if came.values[p] + price > self.values[start]:
+            self.values[start], self.ways[start] = came.values[p] + price, (came.ways.get(p), LOST)
+
+
+class _Options:
+    """Alternatives for one character: each small form once, the first of those that share it."""
+
+    def __init__(self, options: list[tuple[str, float]], scorer: _Scorer):
+        self.lost = max((extra for c, extra in options if c == LOST), default=None)
+        first: dict[str, tuple[str, float]] = {}
+        for c, extra in options:
+            low = _low(c)
+            if c != LOST and (low not in first or extra > first[low][1]):
+                first[low] = c, extra
+        self.chars = [c for c, _ in first.values()]
+        self.extra = np.array([extra for _, extra in first.values()])
+        self.places = scorer.places(np.array([ord(low) for low in first], np.uint32)) if first else np.zeros(0, np.int64)
+
+
+def _spell(states: _States, scorer: _Scorer) -> tuple[str, float] | None:
+    """The string that ends best, and its log likelihood with the end."""
+    live = np.flatnonzero(states.values > -math.inf)
+    if not len(live):
+        return None
+    ends = states.values[live] + scorer.pairs(live, np.full(len(live), scorer.end))
+    k = int(np.argmax(ends))
+    link = states.ways.get(int(live[k]))
     out = []
     while link is not None:
         link, c = link
         out.append(c)
-    return "".join(reversed(out)), v
+    return "".join(reversed(out)), float(ends[k])
 
 
-def _viterbi(slots: list[list[tuple[str, float]]], model: Model) -> tuple[str, float]:
+def _viterbi(slots: list[list[tuple[str, float]]], scorer: _Scorer) -> tuple[str, float]:
     """The likeliest string with one of the alternatives in each slot."""
-    states: dict[str, tuple[float, tuple | None]] = {"^": (0.0, None)}
+    states = _States(scorer.size)
+    states.values[scorer.start] = 0.0
+    kept: dict[int, _Options] = {}
     for options in slots:
-        nxt: dict[str, tuple[float, tuple | None]] = {}
-        _step(states, options, model, nxt)
+        if id(options) not in kept:
+            kept[id(options)] = _Options(options, scorer)
+        own, nxt = kept[id(options)], _States(scorer.size)
+        nxt.add(*scorer.arrivals().best(states.values), states, own)
+        if own.lost is not None:
+            nxt.lose(states, scorer.start, own.lost)
         states = nxt
-    return _spell(states)
+    return _spell(states, scorer)
 
 
-def _lattice(data: list, written: str, read: str, model: Model) -> tuple[str, float] | None:
+def _lattice(data: list, written: str, read: str, scorer: _Scorer) -> tuple[str, float] | None:
     """The likeliest reading of bytes with lost ones as a written encoding; None if the known bytes rule one out.
 
     Positions are joined by the forms that fit there, of any length that the
     encoding has, and by known words over a whole run of letters; the search
     chooses where characters begin and end.
     """
+    model = scorer.model
     words = {}
     if written == "utf-8" or written in _ONE_BYTE:
         at = 0
@@ -442,30 +494,32 @@ def _lattice(data: list, written: str, read: str, model: Model) -> tuple[str, fl
             if run and any(type(x) is not int or x < 0 for x in data[at:end]):
                 words[at] = end
             at = end
-    at_byte: list[dict] = [{} for _ in range(len(data) + 1)]
-    at_byte[0] = {"^": (0.0, None)}
+    ahead: dict[int, _States] = {0: _States(scorer.size)}  # only of positions that can still be reached
+    ahead[0].values[scorer.start] = 0.0
     for i, x in enumerate(data):
-        states = at_byte[i]
-        if not states:
+        states = ahead.pop(i, None)
+        if states is None:
             continue
-        if type(x) is int and 0 <= x < 128:
-            _step(states, [(chr(x), 0.0)], model, at_byte[i + 1])
-        else:
-            for length in _lengths(written, x):
-                if i + length <= len(data):
-                    options = model.options(written, read, tuple(data[i : i + length]))
-                    if options:
-                        _step(states, options, model, at_byte[i + length])
+        top, source = scorer.arrivals().best(states.values)
+        for length in (1,) if type(x) is int and 0 <= x < 128 else _lengths(written, x):
+            if i + length > len(data):
+                continue
+            own = scorer.options(written, read, tuple(data[i : i + length]))
+            if len(own.chars) or own.lost is not None:
+                into = ahead.setdefault(i + length, _States(scorer.size))
+                into.add(top, source, states, own)
+                if own.lost is not None:
+                    into.lose(states, scorer.start, own.lost)
         if i in words:
-            v, link = max(states.values(), key=lambda s: s[0])
-            into = at_byte[words[i]]
-            for w, p in model.whole_words(written, tuple(data[i : words[i]])):
-                low = _low(w[-1])
-                if v + p > into.get(low, (-math.inf, None))[0]:
-                    into[low] = (v + p, (link, w))
-        at_byte[i] = {}
-    ends = at_byte[-1]
-    return _spell({p: (v + model.pair(p if p != LOST else "^", "$"), link) for p, (v, link) in ends.items()}) if ends else None
+            p = int(np.argmax(states.values))
+            v, link = float(states.values[p]), states.ways.get(p)
+            into = ahead.setdefault(words[i], _States(scorer.size))
+            for w, more in model.whole_words(written, tuple(data[i : words[i]])):
+                place = int(scorer.places(np.array([ord(_low(w[-1]))], np.uint32))[0])
+                if v + more > into.values[place]:
+                    into.values[place], into.ways[place] = v + more, (link, w)
+    ends = ahead.get(len(data))
+    return _spell(ends, scorer) if ends is not None else None
 
 
 #: Channel names by number; 0 is the intact one.
@@ -660,7 +714,23 @@ class _Scorer:
         self.keys = np.array([k for k, _ in known], np.int64)
         self.pair = np.array([model.pair(k[0], k[1]) for _, k in known])
         self.start, self.end = place["^"], place["$"]
-        self._letter: dict[int, bool] = {}
+        self._arrivals: _Arrivals | None = None
+        self._options: dict[tuple, _Options] = {}
+
+    def arrivals(self) -> _Arrivals:
+        if self._arrivals is None:
+            self._arrivals = _Arrivals(self)
+        return self._arrivals
+
+    def options(self, written: str, read: str, own: tuple) -> _Options:
+        """The characters that bytes with lost ones can be; plain ASCII is itself."""
+        key = written, read if written[6:] else "", own
+        if key not in self._options:
+            if len(self._options) > 20_000:
+                self._options.clear()
+            plain = len(own) == 1 and type(own[0]) is int and 0 <= own[0] < 128
+            self._options[key] = _Options([(chr(own[0]), 0.0)] if plain else self.model.options(written, read, own), self)
+        return self._options[key]
 
     def places(self, codes: np.ndarray) -> np.ndarray:
         """Where characters are in the alphabet of the model; all that it lacks share the last place."""
@@ -784,9 +854,10 @@ class Decoder:
             self._memo.update((s, self._hope(*r)) for s, r in zip(part, self._read_many(part)))
 
     def _read_lost(self, stretch: str) -> tuple[float, list[tuple[int, float, str]]]:
-        m = self.model
+        m, scorer = self.model, self._scorer()
         out = []
         coded: dict[str, list[int] | None] = {}
+        searched: dict[tuple | None, tuple[str, float] | None] = {}
         for c, (written, read) in enumerate(CHANNELS):
             if not c:
                 continue
@@ -798,8 +869,8 @@ class Decoder:
             if read == "utf-8":
                 if any(x > 127 and x < 0xA0 or x > 0x24F for x in data):
                     continue
-                letters = [(x, 0.0) for x in _chars_of(written)[128:] if x and (x.lower() in m.chars)]
-                text, s = _viterbi([[(chr(x), 0.0)] if x != WILD else letters + [(LOST, -14.0)] for x in data], m)
+                letters = [(x, 0.0) for x in _chars_of(written)[128:] if x and (x.lower() in m.chars)] + [(LOST, -14.0)]
+                text, s = _viterbi([[(chr(x), 0.0)] if x != WILD else letters for x in data], scorer)
                 filled = m.fill(stretch)
                 if LOST not in filled:
                     text = filled
@@ -807,7 +878,11 @@ class Decoder:
                 continue
             # what was lost of UTF-8 may be any byte; of other encodings, and of text written twice, one that the reader lacks
             known = data if written == "utf-8" else _with_lost(data, read)
-            got = _lattice(known, written, read, m) if known else None
+            # encodings that differ in known bytes only read the same lost ones alike
+            key = (written, read if written[6:] else "", tuple(known)) if known else None
+            if key not in searched:
+                searched[key] = _lattice(known, written, read, scorer) if known else None
+            got = searched[key]
             if got and got[0] != stretch:
                 out.append((c, max(got[1], m.score(got[0])), got[0]))
         # where readings are alike, the one that any byte is lost in comes first

@@ -101,12 +101,12 @@ def test_search_is_exact():
             for c, extra in way:
                 v += extra if c == G.LOST else m.pair(p if p != G.LOST else "^", c)
                 p = c
-            return v
+            return v + m.pair(p if p != G.LOST else "^", "$")
 
-        text, got = G._viterbi(slots, m)
+        text, got = G._viterbi(slots, G.Decoder(m)._scorer())
         best = max(itertools.product(*slots), key=value)
-        assert text == "".join(c for c, _ in best) and abs(got - value(best)) < 1e-9
-    assert G._viterbi([[("q", 0.0)], options, [("z", 0.0)]], m)[0] == "q" + letters[20] + "z"
+        assert text == "".join(c for c, _ in best) and abs(got - value(best)) < 1e-9, (text, got, value(best))
+    assert G._viterbi([[("q", 0.0)], options, [("z", 0.0)]], G.Decoder(m)._scorer())[0] == "q" + letters[20] + "z"
 
 
 def test_lost_runs_are_cut_by_the_search():
