@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.scratch import free_name
+from loomlog.scratch import free_name, stage
 
 
 def first_copies(df: DataFrame, identifier: Sequence[str], arrival: Sequence[str]) -> DataFrame:
@@ -59,3 +59,24 @@ def only_unseen(batch: DataFrame, seen: DataFrame, identifier: Sequence[str], ar
     anti join has a hot key. Null identifiers are never stored and always pass.
     """
     return first_copies(batch, identifier, arrival).join(seen.select(*identifier).distinct(), list(identifier), "left_anti")
+
+
+def in_batches(df: DataFrame, batch: str, borders: list, identifier: Sequence[str], arrival: Sequence[str]) -> DataFrame:
+    """First copies of batches that arrive one after the other, each checked against what is stored of those before.
+
+    A batch has the values of ``batch`` up to a border, the last one the rest
+    and nulls. Every batch is stored before the next is looked at. What is kept
+    is the first copy by batch, then by ``arrival``.
+    """
+    kept, low = None, None
+    for high in [*borders, None]:
+        own = F.lit(True) if low is None else F.coalesce(F.col(batch) > low, F.lit(True))
+        if high is not None:
+            own = own & (F.col(batch) <= high)
+        elif low is None:
+            own = F.lit(True)
+        new = df.where(own)
+        new = stage(first_copies(new, identifier, arrival) if kept is None else only_unseen(new, kept, identifier, arrival).select(*df.columns), "batch")
+        kept = new if kept is None else kept.unionByName(new)
+        low = high
+    return kept

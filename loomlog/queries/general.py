@@ -169,9 +169,16 @@ def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.first_copies(_delivered(spark, sf), ["subscription_id", "uid"], ["cursor_no", "delivery_id"])
 
 
+def p7_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """What is kept if deliveries come in four batches by cursor, each checked against the identifiers stored before it."""
+    d = _delivered(spark, sf)
+    top = d.agg(F.coalesce(F.max("cursor_no"), F.lit(0))).first()[0]
+    return dedupe.in_batches(d, "cursor_no", [top // 8, top // 4, top // 2], ["subscription_id", "uid"], ["cursor_no", "delivery_id"])
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_rounds": p2_rounds, "p4_found": p4_found, "p4_changelog": p4_changelog, "p4_hourly": p4_hourly, "p4_daily": p4_daily, "p5_features": p5_features, "p5_store": p5_store,
-    "p6_found": p6_found, "p6_keys": p6_keys, "p7_found": p7_found, "p7_kept": p7_kept,
+    "p6_found": p6_found, "p6_keys": p6_keys, "p7_found": p7_found, "p7_kept": p7_kept, "p7_batches": p7_batches,
 }
 
 _ONCE = "SELECT DISTINCT ON (partition_id, partition_sequence) * FROM event_log"
@@ -241,5 +248,6 @@ SELECT key_field, key_value FROM k GROUP BY ALL HAVING count(*) >= 0.03 * (SELEC
     "p7_found": _RANKED + "SELECT delivery_id FROM r WHERE rk > 1",
     "p7_kept": _RANKED + "SELECT delivery_id, subscription_id, uid, cursor_no FROM r WHERE rk = 1",
 }
+ORACLES["p7_batches"] = ORACLES["p7_kept"]
 ORACLES["p2_rounds"] = ORACLES["p2_found"]
 ORACLES |= {k: q for k, q in {"p5_features": _features_sql(), "p5_store": _features_sql(f"timestamp_ns >= {P5_RANGE[0]} AND timestamp_ns < {P5_RANGE[1]}")}.items() if q}
