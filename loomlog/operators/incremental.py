@@ -134,16 +134,24 @@ class RunLedger:
         """
         number, old = self.published.next_number(), self.intervals()
         folder = self.published.new_folder(number)
-        subtract(available, old, self.block).write.parquet(f"{folder}/taken")
+        first = self.published.last() is None  # nothing to subtract, cut or merge
+        pending = subtract(available, old, self.block) if not first else _points(available)
+        pending.write.parquet(f"{folder}/taken")
         taken = self.spark.read.schema("consumer string, part int, seq bigint, version int").parquet(f"{folder}/taken")
         process(taken).write.parquet(f"{folder}/output")
         fresh = to_intervals(taken, self.block)
-        cut = _without(old, fresh.select("consumer", "part", "lo", "hi"), self.block)
-        merge_intervals(cut.unionByName(fresh), self.block).write.parquet(f"{folder}/ledger")
+        if not first:
+            cut = _without(old, fresh.select("consumer", "part", "lo", "hi"), self.block)
+            fresh = merge_intervals(cut.unionByName(fresh), self.block)
+        fresh.write.parquet(f"{folder}/ledger")
         self.published.publish(number, folder)
         return number
 
 
+def _points(available: DataFrame) -> DataFrame:
+    return available.where("consumer is not null and part is not null and seq is not null").select("consumer", "part", "seq", F.col("version").cast("int").alias("version")).distinct()
+
+
 def _without(intervals: DataFrame, holes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Intervals with the holes cut out, by one sorted sweep over the borders in each block; all lie in one each."""
     none = F.lit(None).cast("struct<version:int>")
